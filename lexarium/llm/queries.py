@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, site_lines, splitting
+from . import leakage, neardup, site_lines, splitting
+from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,23 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.remove_repeated_lines(_t(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "clean_text", "n_removed")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "sections"), "sections", "section_id", "content"))
+    return neardup.near_duplicates(items, threshold=0.7, size=3, min_words=20)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.expand_pairs(*_near(spark, sf_dir))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)[0]
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)[1]
+
+
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.limited_records(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "sections"), _t(spark, sf_dir, "split_limits"))
 
