@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, neardup, site_lines, splitting
+from . import encoding, leakage, neardup, site_lines, splitting
 from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.remove_repeated_lines(_t(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "clean_text", "n_removed")
 
 
+def _documents_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "text_blocks"), "text_blocks", "block_key", "text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(_documents_and_blocks(spark, sf_dir)).select("rec_table", "rec_id").distinct()
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(_documents_and_blocks(spark, sf_dir))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "sections"), "sections", "section_id", "content"))
     return neardup.near_duplicates(items, threshold=0.7, size=3, min_words=20)
