@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, neardup, site_lines, splitting
+from . import encoding, leakage, neardup, packing, site_lines, splitting
 from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_oversized(spark, sf_dir), distinct_rows=True)
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_pools"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(p7_containers(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_cases")).select("case_id", "doc_id").distinct()
 
