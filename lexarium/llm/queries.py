@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, neardup, packing, site_lines, splitting
+from . import encoding, leakage, neardup, packing, site_lines, splitting, stuffing
 from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,14 @@ def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_cases"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(_t(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.score_pages(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of this subpackage by name."""
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
