@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, neardup, packing, site_lines, splitting, stuffing
+from . import encoding, language, leakage, neardup, packing, site_lines, splitting, stuffing
 from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.remove_repeated_lines(_t(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "clean_text", "n_removed")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.assign_languages(documents, language.fit(documents), cases_only=True).select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "lang").distinct()
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.assign_languages(documents, language.fit(documents)).select("doc_id", "seg_no", "lang", "label", "mislabelled", F.round("confidence", 6).alias("confidence"))
+
+
 def _documents_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "text_blocks"), "text_blocks", "block_key", "text"))
 
