@@ -43,10 +43,14 @@ def label_language(label: str | None) -> str | None:
     return NAMES.get(parts[0]) if parts else None
 
 
+#: What is no word of any language: encoded data, long links.
+_BLOB = re.compile(r"\S{41,}")
+
+
 def trigrams(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The trigram numbers of all segments one after the other, and where each begins; each segment has at least one."""
-    joined = "".join([f" {s} " if s else "   " for s in segments]).lower()
-    starts = np.cumsum([0] + [len(s.lower()) + 2 if s else 3 for s in segments])
+    padded = [f" {_BLOB.sub(' ', s)}  ".lower() for s in segments]
+    joined, starts = "".join(padded), np.cumsum([0, *map(len, padded)])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = _CODE[np.minimum(raw, 0x2FFF)]
     grams = np.zeros(len(code), np.uint32)
