@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, language, leakage, neardup, packing, site_lines, splitting, stuffing
+from . import encoding, language, leakage, neardup, packing, scans, site_lines, splitting, stuffing
 from .base import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,17 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_oversized(spark, sf_dir), distinct_rows=True)
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text", "title", "source", F.lit(False).alias("block"))
+    about = _t(spark, sf_dir, "parsed_docs").select("doc_id", "title", "source").dropDuplicates(["doc_id"])
+    blocks = _t(spark, sf_dir, "text_blocks").select("doc_id", F.col("block_key").alias("rec_id"), "text").join(about, "doc_id", "left")
+    return docs.unionByName(blocks.select(F.lit("text_blocks").alias("rec_table"), "rec_id", "text", "title", "source", F.lit(True).alias("block")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_noise(_scanned(spark, sf_dir)).select("rec_table", "rec_id", "kind").distinct()
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_pools"))
 
