@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,14 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that what follows doesn't compute it again and survives lost executors."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def records(df: DataFrame, rec_table: str, rec_id: str, text: str) -> DataFrame:
     """(rec_table, rec_id, text) of a table; whatever other columns it has, clashing names included, stay out."""
     return df.select(F.lit(rec_table).alias("rec_table"), df[rec_id].cast("bigint").alias("rec_id"), df[text].cast("string").alias("text"))
