@@ -10,14 +10,16 @@ compared exactly, on the whole shingle sets. Exact copies are one class and comp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_arrow, words
+from .base import cut, map_arrow, words
 
 #: 8 groups of 4 parts of which one may differ: at a similarity of 0.7 a pair is missed with a probability of 2e-4.
 GROUPS, WIDTH, MISSES = 8, 4, 1
@@ -71,34 +73,48 @@ def _long(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-SKETCH = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n_shingles int, feature array<int>"
+#: Four bits of each feature, 16 features in a long; pairs at the threshold of 0.7 differ in more than MOST_APART of 32 with a probability of 3e-4.
+MOST_APART = 17
+_PLACE = np.arange(FEATURES // 2, dtype=np.uint64) * np.uint64(4)
+_ONES = 0x1111111111111111
+
+
+def _nibbles(feature: np.ndarray) -> tuple[int, int]:
+    low = (feature.view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(2, -1) << _PLACE
+    a, b = np.bitwise_or.reduce(low, axis=1).view(np.int64).tolist()
+    return a, b
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many of 16 features two longs of four bits each differ."""
+    x = a.bitwiseXOR(b)
+    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    return F.bit_count(any_bit.bitwiseAND(F.lit(_ONES)))
+
+
+SKETCH = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n_shingles int, low1 bigint, low2 bigint, feature array<int>"
 
 
 def sketches(items: DataFrame, size: int, min_words: int) -> DataFrame:
     """The fingerprint (set1, set2), size and feature vector of each record's shingle set; short and null texts give no row."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("rec_table", "rec_id", "set1", "set2", "n_shingles", "feature")}
+        out: dict[str, list] = {k: [] for k in ("rec_table", "rec_id", "set1", "set2", "n_shingles", "low1", "low2", "feature")}
         for rec_table, rec_id, text in zip(cols["rec_table"], cols["rec_id"], cols["text"]):
             own = shingles(text, size, min_words)
             if own is not None:
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                for k, v in zip(out, (rec_table, rec_id, _long(digest >> 64), _long(digest & (2**64 - 1)), len(own), _features(own))):
+                feature = _features(own)
+                for k, v in zip(out, (rec_table, rec_id, _long(digest >> 64), _long(digest & (2**64 - 1)), len(own), *_nibbles(feature), feature)):
                     out[k].append(v)
         return out
 
     return map_arrow(items.filter(F.length("text") > 0).select("rec_table", "rec_id", "text"), SKETCH, work)
 
 
-def classes(items: DataFrame, size: int = 5, min_words: int = 1) -> DataFrame:
-    """(rec_table, rec_id, rep_id): records with the same shingle set, under the least id among them; repeated rows once."""
-    found = sketches(items, size, min_words)
-    reps = _representatives(found)
-    return found.join(reps.select("rec_table", "set1", "set2", "rep_id"), ["rec_table", "set1", "set2"]).select("rec_table", "rec_id", "rep_id").distinct()
-
-
 def _representatives(found: DataFrame) -> DataFrame:
-    return found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), F.first("n_shingles").alias("n_shingles"), F.first("feature").alias("feature"))
+    """One row for each distinct shingle set: its least record, how many rows have it, its size and features."""
+    return found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), F.first("n_shingles").alias("n_shingles"), F.first("low1").alias("low1"), F.first("low2").alias("low2"), F.first("feature").alias("feature"))
 
 
 def _signatures() -> Column:
@@ -110,53 +126,90 @@ def _signatures() -> Column:
     return F.array(*out)
 
 
-def similar_classes(items: DataFrame, reps: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
-    """(rec_table, rep_a, rep_b, similarity): pairs of different classes at or above the threshold."""
-    signed = reps.select("rec_table", "rep_id", "n_shingles", F.explode(_signatures()).alias("signature"))
-    a = signed.select("rec_table", F.col("rep_id").alias("rep_a"), F.col("n_shingles").alias("n_a"), "signature")
-    b = signed.select(F.col("rep_id").alias("rep_b"), F.col("n_shingles").alias("n_b"), "signature", F.col("rec_table").alias("table_b"))
-    fits = (F.col("rec_table") == F.col("table_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9))
-    pairs = a.join(b.hint("merge"), (a["signature"] == b["signature"]) & fits).select("rec_table", "rep_a", "rep_b").distinct()
-    wanted = pairs.select("rec_table", F.explode(F.array("rep_a", "rep_b")).alias("rec_id")).distinct()
-    texts = items.filter(F.length("text") > 0).join(wanted, ["rec_table", "rec_id"], "left_semi").select("rec_table", "rec_id", "text")
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a signature and may reach the threshold by their sizes and features.
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        sets = [shingles(t, size, min_words) for t in cols["text"]]
-        return {"rec_table": cols["rec_table"], "rec_id": cols["rec_id"], "shingle": [[] if s is None else s.astype(np.uint32).view(np.int32) for s in sets]}
+    Texts of one kind share many a signature by chance; the four bits of each feature that travel with a signature rule
+    these out within the join, so that what leaves it grows with the pairs there are.
+    """
+    signed = reps.select("rec_table", "rep_id", "n_shingles", "low1", "low2", F.explode(_signatures()).alias("signature"))
+    a = signed.select(*(F.col(c).alias(f"{c}_a") for c in signed.columns))
+    b = signed.select(*(F.col(c).alias(f"{c}_b") for c in signed.columns))
+    fits = (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("rep_id_a") < F.col("rep_id_b")) & (F.least("n_shingles_a", "n_shingles_b") >= F.greatest("n_shingles_a", "n_shingles_b") * (threshold - 1e-9))
+    near = _apart(F.col("low1_a"), F.col("low1_b")) + _apart(F.col("low2_a"), F.col("low2_b")) <= MOST_APART
+    return a.join(b.hint("merge"), (F.col("signature_a") == F.col("signature_b")) & fits & near).select(F.col("rec_table_a").alias("rec_table"), F.col("rep_id_a").alias("rep_a"), F.col("rep_id_b").alias("rep_b")).distinct()
+
+
+#: Bits of the map of wanted records, in buckets of as many bits as Spark's bitmap functions use: 512 KB at any scale.
+BUCKET_BITS, BUCKETS = 32_768, 128
+
+
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A bit map of the hashes of the paired records; of fixed size, so that ever more other records pass it as it fills."""
+    ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(BUCKET_BITS * BUCKETS)).alias("bit"))
+    maps = ids.groupBy(F.floor(F.col("bit") / BUCKET_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(F.col("bit"), F.lit(BUCKET_BITS))).alias("bits"))
+    out = np.zeros((BUCKETS, BUCKET_BITS), bool)
+    for r in maps.collect():  # at most BUCKETS rows
+        out[r["bucket"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return out.ravel()
 
-    sets = map_arrow(texts, "rec_table string, rec_id bigint, shingle array<int>", work).dropDuplicates(["rec_table", "rec_id"])
+
+def compare(items: DataFrame, pairs: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
+    """(rec_table, rep_a, rep_b, similarity): the pairs whose whole shingle sets are similar enough.
+
+    Only records that may be in a pair are tokenised again and shuffled.
+    """
+    bits = items.sparkSession.sparkContext.broadcast(_wanted(pairs))
+    bit = F.pmod(F.xxhash64("rec_id"), F.lit(BUCKET_BITS * BUCKETS))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(bits.value[batch.column(2).to_numpy(zero_copy_only=False)]))
+            if kept.num_rows:
+                sets = [shingles(t, size, min_words) for t in kept.column(3).to_pylist()]
+                arrays = pa.array([[] if s is None else s.astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), arrays], names=["rec_table", "rec_id", "shingle"])
+
+    texts = items.filter(F.length("text") > 0).select("rec_table", "rec_id", bit.alias("bit"), "text")
+    sets = texts.mapInArrow(sets_of, "rec_table string, rec_id bigint, shingle array<int>")
     joined = pairs.join(sets.withColumnsRenamed({"rec_id": "rep_a", "shingle": "shingle_a"}), ["rec_table", "rep_a"]).join(sets.withColumnsRenamed({"rec_id": "rep_b", "shingle": "shingle_b"}), ["rec_table", "rep_b"])
 
-    def compare(cols: dict[str, list]) -> dict[str, list]:
+    def work(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("rec_table", "rep_a", "rep_b", "similarity")}
         for rec_table, x, y, s, t in zip(cols["rec_table"], cols["rep_a"], cols["rep_b"], cols["shingle_a"], cols["shingle_b"]):
             both = len(set(s).intersection(t))
             union = len(s) + len(t) - both
-            if both >= threshold * union - 1e-9:
+            if union and both >= threshold * union - 1e-9:
                 for k, v in zip(out, (rec_table, x, y, both / union)):
                     out[k].append(v)
         return out
 
-    return map_arrow(joined.select("rec_table", "rep_a", "rep_b", "shingle_a", "shingle_b"), "rec_table string, rep_a bigint, rep_b bigint, similarity double", compare)
+    return map_arrow(joined.select("rec_table", "rep_a", "rep_b", "shingle_a", "shingle_b"), "rec_table string, rep_a bigint, rep_b bigint, similarity double", work).distinct()
 
 
 def near_duplicates(items: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """Classes of copies, and the links between them.
 
-    items: rec_table, rec_id, text. Gives (rec_table, rec_id, rep_id) with one row for each record of at least min_words
-    words, and (rec_table, rep_a, rep_b, similarity) with rep_a < rep_b. Links are only within a rec_table. Null, empty
-    and short texts give no rows; repeated rows count once; records with the same shingle set are one class.
+    items: rec_table, rec_id, text. Gives (rec_table, rec_id, rep_id), one row for each record of at least min_words
+    words with the least id among those of the same shingle set, and (rec_table, rep_a, rep_b, similarity) with
+    rep_a < rep_b, the classes linked. Links are only within a rec_table. Null, empty and short texts give no rows;
+    repeated rows count once; an id with several texts belongs to the class of each. The sketches and the candidate pairs are cut to the
+    checkpoint folder, so this starts jobs.
     """
-    found = sketches(items, size, min_words)
+    found = cut(sketches(items, size, min_words))
     reps = _representatives(found)
-    member = found.join(reps.select("rec_table", "set1", "set2", "rep_id"), ["rec_table", "set1", "set2"]).select("rec_table", "rec_id", "rep_id").distinct()
-    return member, similar_classes(items, reps, threshold, size, min_words)
+    pairs = cut(candidates(reps, threshold))
+    several = found.select("rec_table", "rec_id", "set1", "set2").join(reps.filter("last_id <> rep_id").select("rec_table", "set1", "set2", "rep_id"), ["rec_table", "set1", "set2"], "left")
+    member = several.select("rec_table", "rec_id", F.coalesce("rep_id", "rec_id").alias("rep_id")).distinct()
+    return member, compare(items, pairs, threshold, size, min_words)
 
 
 def expand_pairs(member: DataFrame, links: DataFrame) -> DataFrame:
     """(rec_table, id_a, id_b), id_a < id_b: the pairs of records within and between linked classes."""
-    a = member.select("rec_table", F.col("rep_id").alias("rep_a"), F.col("rec_id").alias("x"))
-    b = member.select("rec_table", F.col("rep_id").alias("rep_b"), F.col("rec_id").alias("y"))
-    own = member.filter("rep_id <> rec_id").select("rec_table", F.col("rep_id").alias("rep_a"), F.col("rep_id").alias("rep_b")).distinct()
-    pairs = links.select("rec_table", "rep_a", "rep_b").unionByName(own).join(a, ["rec_table", "rep_a"]).join(b, ["rec_table", "rep_b"])
-    return pairs.filter((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y"))).select("rec_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    others = member.filter("rep_id <> rec_id")
+    several = cut(others.unionByName(others.select("rec_table", F.col("rep_id").alias("rec_id"), "rep_id").distinct()))
+    a = several.select("rec_table", F.col("rep_id").alias("rep_a"), F.col("rec_id").alias("x"))
+    b = several.select("rec_table", F.col("rep_id").alias("rep_b"), F.col("rec_id").alias("y"))
+    between = links.join(a, ["rec_table", "rep_a"], "left").join(b, ["rec_table", "rep_b"], "left").select("rec_table", F.coalesce("x", "rep_a").alias("x"), F.coalesce("y", "rep_b").alias("y"))
+    within = a.join(b.withColumnRenamed("rep_b", "rep_a"), ["rec_table", "rep_a"]).filter("x < y").select("rec_table", "x", "y")
+    return between.unionByName(within).select("rec_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
