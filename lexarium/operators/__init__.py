@@ -1 +1 @@
-
+"""Dataflow operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Pipelines, and the catalog of queries with their SQL."""

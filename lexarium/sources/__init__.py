@@ -1 +1 @@
-
+"""Readers, the reader registry and the vector store."""

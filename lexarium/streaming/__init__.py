@@ -1 +1 @@
-
+"""The same transformations over streams."""
