@@ -49,7 +49,7 @@ _BLOB = re.compile(r"\S{41,}")
 
 def trigrams(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The trigram numbers of all segments one after the other, and where each begins; each segment has at least one."""
-    padded = [f" {_BLOB.sub(' ', s)}  ".lower() for s in segments]
+    padded = [f"  {_BLOB.sub(' ', s)}  ".lower() for s in segments]
     joined, starts = "".join(padded), np.cumsum([0, *map(len, padded)])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = _CODE[np.minimum(raw, 0x2FFF)]
@@ -66,10 +66,18 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def scores(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Raw scores, and the number of trigrams with letters, of each segment."""
-        if not segments:
-            return np.zeros((0, len(LANGUAGES)), np.float32), np.zeros(0, np.int64)
+    def scores(self, segments: list[str], block_chars: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """Raw scores, and the number of trigrams with letters, of each segment; worked off in blocks of about block_chars."""
+        out = [(np.zeros((0, len(LANGUAGES)), np.float32), np.zeros(0, np.int64))]
+        begin = size = 0
+        for k, segment in enumerate(segments, 1):
+            size += len(segment)
+            if size >= block_chars or k == len(segments):
+                out.append(self._scores(segments[begin:k]))
+                begin, size = k, 0
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def _scores(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         grams, starts = trigrams(segments)
         sums = np.add.reduceat(self.table[grams], starts[:-1], axis=0)
         n = np.add.reduceat((grams != 0).astype(np.int64), starts[:-1])

@@ -64,9 +64,11 @@ def shingles(text: str, size: int, min_words: int) -> np.ndarray | None:
     return np.unique(out)
 
 
-def _features(sets: np.ndarray) -> np.ndarray:
+def _features(sets: np.ndarray, block: int = 65_536) -> np.ndarray:
+    """The minima of a set under all hash functions, block by block, so that long texts need no more memory."""
     with np.errstate(over="ignore"):
-        return ((sets[:, None] * _A + _B) >> np.uint64(32)).min(axis=0).astype(np.uint32).view(np.int32)
+        parts = [((sets[at : at + block, None] * _A + _B) >> np.uint64(32)).min(axis=0) for at in range(0, len(sets), block)]
+    return np.min(parts, axis=0).astype(np.uint32).view(np.int32)
 
 
 def _long(value: int) -> int:

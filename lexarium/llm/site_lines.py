@@ -88,10 +88,11 @@ def repeated_lines(documents: DataFrame, **options: float) -> DataFrame:
 
 
 def remove_repeated_lines(documents: DataFrame, **options: float) -> DataFrame:
-    """documents with a column clean_text, the text without its recurring lines, and n_removed.
+    """documents with a column clean_text (an earlier one goes), the text without its recurring lines, and n_removed.
 
     Lines are taken out by position, the rest keeps its order. A null text stays null; doc_id must be unique.
     """
+    documents = documents.drop("clean_text", "n_removed", "_gone")
     gone = repeated_lines(documents, **options).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
     joined = documents.join(gone, "doc_id", "left")
