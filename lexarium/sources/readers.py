@@ -112,13 +112,13 @@ def _walk(node: object, path: str) -> object:
     return node
 
 
-def json_documents(raw: str, path: str = "", content_key: str | None = None, whole_if_missing: bool = True) -> Iterator[tuple[str, dict[str, str]]]:
-    """Documents of a JSON text: each item of the list at the path, or the one value there.
+def json_documents(raw: str, at: str = "", content_key: str | None = None, whole_if_missing: bool = True) -> Iterator[tuple[str, dict[str, str]]]:
+    """Documents of a JSON text: each item of the list at the dotted path `at`, or the one value there.
 
     A missing content_key gives the whole item, or no document if whole_if_missing is off.
     """
     try:
-        node = _walk(json.loads(raw), path)
+        node = _walk(json.loads(raw), at)
     except ValueError as e:
         yield "", {"filetype": "json", "error": str(e)}
         return
