@@ -271,7 +271,7 @@ def test_readers(spark, tmp_path):
     assert page.content == "H Text & more" and page.metadata["title"] == "T" and json.loads(page.metadata["image_urls"]) == ["i.png"]
     books = readers.read_xml(spark, f"{tmp_path}/f.xml", split_by="book", metadata_tags=["title"]).collect()
     assert [(r.content, r.metadata["index"]) for r in books] == [("A", "0"), ("B", "1")] and books[0].metadata["title_lang"] == "en"
-    assert readers.read_directory(spark, str(tmp_path), recursive=False).count() == 10
+    assert readers.read_directory(spark, str(tmp_path), recursive=False).count() == 8
     assert readers.reader_for("X.NDJSON") is readers.READERS["jsonl"]
     with pytest.raises(ValueError):
         readers.reader_for("x.bin")
