@@ -65,7 +65,7 @@ class WuManber:
 LEAKS = "doc_id bigint, case_id bigint, field string, first_word int, n_words int"
 
 
-def find_leaks(documents: DataFrame, cases: DataFrame, run: int = 10, block_chars: int = 64_000_000) -> DataFrame:
+def find_leaks(documents: DataFrame, cases: DataFrame, run: int = 10, block_chars: int = 2_000_000) -> DataFrame:
     """One row per document, case and field that share at least `run` consecutive words, with their longest such run.
 
     documents: doc_id, text; cases: case_id and any of query, expected_answer, passage. Null, blank and short texts

@@ -77,16 +77,28 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text", "title", "source", F.lit(False).alias("block"))
-    about = _t(spark, sf_dir, "parsed_docs").select("doc_id", "title", "source").dropDuplicates(["doc_id"])
+    """documents and text_blocks; a file's title and site are those of any of its revisions that has them."""
+    docs = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text", "title", "source", F.lit(None).cast("string").alias("code"), F.lit(False).alias("block"))
+    parsed = _t(spark, sf_dir, "parsed_docs").select("doc_id", "title", "source", F.col("doc_number").alias("code")).dropDuplicates(["doc_id"])
+    known = parsed.filter(F.col("code").isNotNull()).groupBy("code").agg(F.min("title").alias("any_title"), F.min("source").alias("any_source"))
+    about = parsed.join(known, "code", "left").select("doc_id", F.coalesce("title", "any_title").alias("title"), F.coalesce("source", "any_source").alias("source"), "code")
     blocks = _t(spark, sf_dir, "text_blocks").select("doc_id", F.col("block_key").alias("rec_id"), "text").join(about, "doc_id", "left")
-    return docs.unionByName(blocks.select(F.lit("text_blocks").alias("rec_table"), "rec_id", "text", "title", "source", F.lit(True).alias("block")))
+    return docs.unionByName(blocks.select(F.lit("text_blocks").alias("rec_table"), "rec_id", "text", "title", "source", "code", F.lit(True).alias("block")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.find_noise(_scanned(spark, sf_dir)).select("rec_table", "rec_id", "kind").distinct()
 
 
+def p6_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_noise(_scanned(spark, sf_dir))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _scanned(spark, sf_dir)
+    return scans.repair_scans(items, scans.find_noise(items))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_pools"))
 

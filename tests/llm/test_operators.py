@@ -248,10 +248,12 @@ def test_p6_operator(spark):
     clean = "the pressure modules follow the archive sensors carefully and return"
     blocks = [("text_blocks", k, clean, None, None, True) for k in range(60)]
     noisy = [("text_blocks", 100, "the prcssure rnodules follow the archive", None, None, True), ("text_blocks", 101, "the pres- sure modules and pre- and post-shift", None, None, True), ("text_blocks", 102, "the m0dules follow", None, None, True), ("text_blocks", 103, None, None, None, True), ("text_blocks", 104, "", None, None, True), ("text_blocks", 105, "[12]", "T", "x", True), ("documents", 1, clean, None, None, False)]
-    items = spark.createDataFrame(blocks + noisy + noisy[:1], "rec_table string, rec_id long, text string, title string, source string, block boolean")
+    items = spark.createDataFrame(blocks + noisy + noisy[:1], "rec_table string, rec_id long, text string, title string, source string, block boolean").withColumn("code", base.F.lit("NRV 1234-5"))
     got = {(r.rec_id, r.kind, r.fix) for r in scans.find_noise(items).collect()}
     assert {(100, "characters", "pressure"), (100, "characters", "modules"), (101, "hyphenation", "pressure"), (102, "characters", "modules"), (105, "page_number", None)} <= got
     assert {r for r, _, _ in got} == {100, 101, 102, 105}
+    fixed = {r.rec_id: r.restored for r in scans.repair_scans(items, scans.find_noise(items)).collect()}
+    assert fixed == {100: "the pressure modules follow the archive", 101: "the pressure modules and pre- and post-shift", 102: "the modules follow", 105: ""}
     assert scans.find_noise(items.limit(0)).count() == 0
 
 
