@@ -87,7 +87,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.find_noise(_scanned(spark, sf_dir)).select("rec_table", "rec_id", "kind").distinct()
+    return scans.find_noise(_scanned(spark, sf_dir), context=False).select("rec_table", "rec_id", "kind").distinct()
 
 
 def p6_noise(spark: SparkSession, sf_dir: str) -> DataFrame:

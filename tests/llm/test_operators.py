@@ -257,6 +257,14 @@ def test_p6_operator(spark):
     assert scans.find_noise(items.limit(0)).count() == 0
 
 
+def test_p6_context_picks_among_fixes(spark):
+    """"barc" may be bare, the likelier confusion, or harc; the word before tells which."""
+    rows = ["the walls stand bare now"] * 30 + ["they play harc music"] * 30 + ["they play barc music"]
+    items = spark.createDataFrame([("text_blocks", k, t, None, None, None, True) for k, t in enumerate(rows)], "rec_table string, rec_id long, text string, title string, source string, code string, block boolean")
+    assert {(r.rec_id, r.noisy, r.fix) for r in scans.find_noise(items).collect()} == {(60, "barc", "harc")}
+    assert {(r.rec_id, r.noisy, r.fix) for r in scans.find_noise(items, context=False).collect()} == {(60, "barc", "bare")}
+
+
 # p7
 
 
