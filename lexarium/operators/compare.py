@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import html
+import textwrap
 
 import numpy as np
 import pandas as pd
@@ -160,10 +161,17 @@ def diff_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("pair_id").pivot("result_type", list(RESULTS)).agg(F.count(F.lit(1))).na.fill(0, list(RESULTS))
 
 
-def diff_report(compared: DataFrame, show_similar: bool = False) -> DataFrame:
-    """(pair_id, report): one Markdown line for each result by position."""
+#: How a line of a report reads in each format: before, between and after its parts.
+FORMATS = {"markdown": ("- ", " ", ""), "html": ('<li class="', '">', "</li>"), "text": ("", ": ", "")}
+
+
+def diff_report(compared: DataFrame, show_similar: bool = False, style: str = "markdown") -> DataFrame:
+    """(pair_id, report): one line for each result by position, as Markdown, HTML or text."""
+    if style not in FORMATS:
+        raise ValueError(f"unknown format {style}")
+    before, between, after = FORMATS[style]
     rows = compared if show_similar else compared.filter("result_type <> 'SIMILAR'")
-    line = F.concat(F.lit("- "), F.col("result_type"), F.lit(" "), F.coalesce(F.col("source_idx").cast("string"), F.lit("-")), F.lit(" -> "), F.coalesce(F.col("target_idx").cast("string"), F.lit("-")))
+    line = F.concat(F.lit(before), F.col("result_type"), F.lit(between), F.coalesce(F.col("source_idx").cast("string"), F.lit("-")), F.lit(" -> "), F.coalesce(F.col("target_idx").cast("string"), F.lit("-")), F.lit(after))
     ordered = F.array_sort(F.collect_list(F.struct("source_idx", "target_idx", line.alias("text"))))
     return rows.groupBy("pair_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("report"))
 
@@ -203,6 +211,12 @@ def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
 
 
+@F.pandas_udf(StringType())
+def wrapped(text: pd.Series) -> pd.Series:
+    """A text in lines of at most 100 characters, its own line ends kept."""
+    return text.map(lambda t: None if t is None else "\n".join(x for line in t.split("\n") for x in (textwrap.wrap(line, 100) or [""])))
+
+
 def consecutive_revisions(parsed: DataFrame) -> DataFrame:
     """(pair_id, source_doc, target_doc): each revision of a file with the next one; pair_id is the later document."""
     order = Window.partitionBy("doc_number").orderBy("revision", "doc_id")

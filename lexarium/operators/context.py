@@ -60,9 +60,9 @@ def named_template(requests: DataFrame, templates: Mapping[str, str], default: s
 
 
 def extractive_answer(pairs: DataFrame) -> DataFrame:
-    """pairs (query_id, query, context) with answer: the sentence of the context that shares most tokens with the query, the first of equals; a stand-in for a generator."""
+    """pairs (query_id, query, context) with answer: the sentence, within a line of the context, that shares most tokens with the query, the first of equals; a stand-in for a generator."""
     asked = tokens(F.col("query"))
-    scored = F.transform(sentences(F.col("context")), lambda s, i: F.struct((-F.size(F.array_intersect(tokens(s), asked))).alias("score"), i.alias("place"), s.alias("text")))
+    scored = F.transform(F.flatten(F.transform(F.split("context", "\n"), sentences)), lambda s, i: F.struct((-F.size(F.array_intersect(tokens(s), asked))).alias("score"), i.alias("place"), s.alias("text")))
     return pairs.withColumn("answer", F.coalesce(F.array_min(scored)["text"], F.lit("")))
 
 

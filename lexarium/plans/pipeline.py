@@ -54,6 +54,20 @@ class Pipeline:
         rows = rows.withColumn("prompt", C.fill_template(self.template, context=F.col("context"), history=F.col("history"), query=F.col("query")))
         return G.post_process(self.generator(rows), self.grounding)
 
+    def converse(self, questions: DataFrame, turns: DataFrame, history_size: int = 3) -> tuple[DataFrame, DataFrame]:
+        """Questions (conv_id, query) answered with the history of their conversation, and the turns (conv_id, turn, role, text) with the
+        new ones behind, cut to the last 2 * history_size. A conversation has one open question."""
+        recent = C.recent_turns(turns, history_size)
+        line = F.concat(F.when(F.col("role") == "human", "Human: ").otherwise("Assistant: "), F.coalesce("text", F.lit("")))
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+        history = recent.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(lines, "\n").alias("history"))
+        answers = self.answer(questions.withColumnRenamed("conv_id", "query_id"), history)
+        last = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max("turn").alias("last"))
+        said = answers.join(last, "query_id", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+        new = said.select(F.col("query_id").alias("conv_id"), F.posexplode(F.array(F.struct(F.lit("human").alias("role"), F.col("query").alias("text")), F.struct(F.lit("ai").alias("role"), F.col("answer").alias("text")))).alias("at", "said"), "last")
+        new = new.select("conv_id", (F.col("last") + 1 + F.col("at")).cast("bigint").alias("turn"), "said.role", "said.text")
+        return answers, C.recent_turns(turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(new), history_size)
+
     def rejected(self, questions: DataFrame) -> DataFrame:
         """The questions that answer leaves out, with the reason."""
         return questions.filter(is_blank(F.col("query"))).withColumn("reason", F.when(F.col("query").isNull(), "the query is null").otherwise("the query is blank"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.embed import seeded_embedding
 from ..functions.vectors import feature_hash_vector, fit_dimension
 from ..functions.words import STOPWORDS
 from ..operators import chunking, evaluation, filters, grounding, ocr_text, sectioning
@@ -349,6 +350,13 @@ def embed_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("embedding").cast("long").alias("had"), F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
+@query()
+def embed_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded stand-in embedding of each passage."""
+    rows = table(spark, sf_dir, "eval_cases").select("case_id", seeded_embedding(F.col("passage")).alias("v"))
+    return rows.select("case_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
 # grounding and evaluation of answers
 
 

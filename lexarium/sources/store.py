@@ -57,6 +57,17 @@ def shard_of(row_no: Column, capacity: int) -> Column:
     return F.floor((row_no - 1) / capacity).cast("int")
 
 
+def shard_batches(sizes: Sequence[int], capacity: int, held: int = 0) -> list[int]:
+    """The shard of each batch when batches are never split: a batch that doesn't fit beside what the last shard holds opens a new one."""
+    shard, out = 0, []
+    for size in sizes:
+        if held and held + size > capacity:
+            shard, held = shard + 1, 0
+        held += size
+        out.append(shard)
+    return out
+
+
 class VectorStore:
     """A collection in one directory. Writes append; searches are exact and prune what conditions rule out at the scan."""
 
@@ -109,6 +120,15 @@ class VectorStore:
         rows = self.rows().select(F.xxhash64("id").alias("id"), "vector")
         return search_many(rows, queries.select("query_id", self.embed(F.col("text")).alias("vector")), k)
 
+    def as_retriever(self, k: int = 4) -> Callable[[DataFrame], DataFrame]:
+        """A retriever of a pipeline: questions (query_id, query) to hits (query_id, rank, content, source, distance)."""
+
+        def retrieve(questions: DataFrame) -> DataFrame:
+            hits = self.search_many(questions.withColumnRenamed("query", "text"), k)
+            return hits.join(self.rows().select(F.xxhash64("id").alias("id"), "content", "source"), "id").select("query_id", "rank", "content", "source", "distance")
+
+        return retrieve
+
     def shard_sizes(self) -> DataFrame:
         return self.rows().groupBy("shard").count()
 
