@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .vectors import feature_hash_embedding, fit_dimension
 
-#: Dimensions that fixed topics add to in the seeded embedding.
+#: Dimensions that topics add to in the seeded embedding.
 TOPICS = ((("space", "moon", "nasa"), slice(0, 5)), (("artificial intelligence", "ai"), slice(10, 15)))
 
 

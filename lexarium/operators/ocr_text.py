@@ -34,6 +34,7 @@ def route_models(pages: DataFrame, models: Mapping[str, str], default: str, text
 
 def cleaning_prompt(text: Column, language: Column, kind: Column, config: CleanerConfig = CleanerConfig()) -> Column:
     """The request to clean a text, with what is known of its language and kind."""
+    # The wording is fixed: results depend on it.
     layout = "Preserve the original document layout including paragraphs, lists, and headings." if config.preserve_layout else ""
     about = F.concat(F.coalesce(F.concat(F.lit("This document is in "), language, F.lit(". ")), F.lit("")), F.coalesce(F.concat(F.lit("This is a "), kind, F.lit(". ")), F.lit("")))
     if config.translate_to:
