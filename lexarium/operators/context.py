@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, strip, tokens, truncate
+from .numbering import number_rows
 
 PROMPT = "Answer the question using only the context.\n\nContext:\n{context}\n\nHistory:\n{history}\n\nQuestion: {query}\nAnswer:"
 
@@ -73,7 +74,14 @@ def recent_turns(turns: DataFrame, history_size: int = 3) -> DataFrame:
 
 
 def history_before(turns: DataFrame, history_size: int = 3) -> DataFrame:
-    """turns with history: the lines of the messages before, at most 2 * history_size, as `Human: ..` and `Assistant: ..`."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2 * history_size, -1)
+    """turns with history: the lines of the messages before, at most 2 * history_size, as `Human: ..` and `Assistant: ..`.
+
+    Turns are numbered over all conversations, and each line is sent to the few turns that follow it, so that no
+    conversation, however long, has to be brought into one task.
+    """
     line = F.concat(F.when(F.col("role") == "human", "Human: ").otherwise("Assistant: "), F.coalesce("text", F.lit("")))
-    return turns.withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
+    numbered = number_rows(turns, "conv_id", "turn", name="_no")
+    sent = numbered.select("conv_id", line.alias("_line"), F.col("_no").alias("_from"), F.explode(F.sequence(F.lit(1), F.lit(2 * history_size))).alias("_ahead"))
+    sent = sent.select("conv_id", "_from", "_line", (F.col("_from") + F.col("_ahead")).alias("_no"))
+    lines = sent.groupBy("conv_id", "_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_line"))), lambda x: x["_line"]), "\n").alias("history"))
+    return numbered.join(lines, ["conv_id", "_no"], "left").withColumn("history", F.coalesce("history", F.lit(""))).drop("_no")

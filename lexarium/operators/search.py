@@ -39,6 +39,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
 
     The stated queries go to the workers in blocks of at most `block` as one matrix; each Arrow batch of vectors is
     multiplied with it and keeps its k best for each query, so k rows per query and batch are shuffled and never a cross join.
+    Null vectors and those of another dimension than the queries have no distance and are left out.
     """
     ids, found, chunk = [], None, []
 
@@ -72,7 +73,7 @@ def _search_block(vectors: DataFrame, query_ids: np.ndarray, matrix: np.ndarray,
             order = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(dist, order, 1).ravel())], names=["query_id", "id", "distance"])
 
-    return vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, HITS)
+    return vectors.filter(F.size("vector") == matrix.shape[1]).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, HITS)
 
 
 def sharded_search(vectors: DataFrame, query: Sequence[float], shard: str = "shard", k: int = 10) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import feature_hash_embedding
 from ..operators.filters import where, where_document
+from ..operators.numbering import number_rows
 from ..operators.search import nearest, nearest_per_group, search_many
 
 CONTENT_TYPES = ("image", "technical_drawing", "table")
@@ -32,24 +33,6 @@ def unseen_sources(batch: DataFrame, stored: DataFrame, source: str = "source")
     return batch.join(known, source, "left_anti")
 
 
-def number_rows(rows: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
-    """rows numbered from 1 in a total order, without bringing them into one partition.
-
-    Rows are sorted by range and written to the checkpoint folder, so that the numbers are counted on the very
-    partitions they are given in; only one count for each partition is gathered.
-    """
-    session = rows.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    within = parted.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = parted.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
-
-
 def shard_of(row_no: Column, capacity: int) -> Column:
     """The shard that is filled when a row arrives."""
     if capacity < 1:
