@@ -172,9 +172,17 @@ def _temperature(scores: np.ndarray, y: np.ndarray, noise: float) -> float:
 
 
 def fit(documents: DataFrame, sample_docs: int = 3000) -> Model:
-    """Train on at most sample_docs labelled documents, those of the least hashes of their ids."""
-    labelled = documents.filter((F.length("text") > 0) & F.col("lang").isNotNull())
-    rows = labelled.select("doc_id", "text", "lang").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_docs).collect()
+    """Train on at most sample_docs labelled documents, those of the least hashes of their ids.
+
+    Their share of all labelled documents is known before they are read, so that about as many rows as are used travel
+    to the driver, whatever the number of documents.
+    """
+    labelled = documents.filter(F.col("lang").isNotNull())
+    n = labelled.select("lang").count()
+    share = min(1.0, 1.2 * sample_docs / max(1, n))
+    least = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
+    rows = labelled.filter(least & (F.length("text") > 0)).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).limit(2 * sample_docs).collect()
+    rows = sorted(rows, key=lambda r: (r["h"] % 1_000_000, r["h"], r["doc_id"], r["text"]))[:sample_docs]
     samples = [(r["text"], label_language(r["lang"])) for r in rows]
     return train([(t, lang) for t, lang in samples if lang and not is_stuffed(t)])
 
