@@ -286,12 +286,19 @@ _ASCII = "regexp_full_match(query, '[\\x00-\\x7f]*') AND regexp_full_match(expec
 
 @query(f"SELECT case_id, levenshtein(query, expected_answer) AS edits, round(CASE WHEN length(query) = 0 THEN 1.0 ELSE least(1.0, levenshtein(query, expected_answer) / length(query)::DOUBLE) END, 6) AS cer FROM eval_cases WHERE {_ASCII}")
 def eval_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance and character error rate, for ASCII pairs, which both engines count alike."""
+    """Edit distance and character error rate, for ASCII pairs, which both engines count alike; eval_edits_all has every case."""
     ascii_only = F.col("query").rlike(r"^[\x00-\x7f]*$") & F.col("expected_answer").rlike(r"^[\x00-\x7f]*$")
     pairs = table(spark, sf_dir, "eval_cases").filter(ascii_only).select("case_id", F.col("query").alias("truth"), F.col("expected_answer").alias("text"))
     return evaluation.edit_rates(pairs).select("case_id", F.col("edits").cast("long").alias("edits"), F.round("cer", 6).alias("cer"))
 
 
+@query()
+def eval_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance in characters and character error rate of every case; a null text has no distance and an error rate of 1."""
+    pairs = table(spark, sf_dir, "eval_cases").select("case_id", F.col("query").alias("truth"), F.col("expected_answer").alias("text"))
+    return evaluation.edit_rates(pairs).select("case_id", F.col("edits").cast("long").alias("edits"), F.round("cer", 6).alias("cer"))
+
+
 @query()
 def eval_ratio_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character and word error by matching ratio."""
