@@ -492,13 +492,21 @@ def ocr_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN {_strip('substring(text, 1, 40)')} = '' THEN text ELSE {_strip('substring(text, 1, 40)')} END AS cleaned FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL)")
 def ocr_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model's reply says after its marker."""
+    """What a model's reply says after its marker, for replies of 40 characters; ocr_after_marker_whole has the whole texts."""
     flat = F.regexp_replace("content", S + "+", " ")
     docs = _docs(spark, sf_dir).filter(F.col("content").isNotNull()).select("doc_id", flat.alias("content"))
     reply = F.concat(F.lit("Here it is. CORRECTED TEXT:\n"), F.substring("content", 1, 40), F.lit("\n"))
     return docs.select("doc_id", ocr_text.after_marker(reply, F.col("content")).alias("cleaned"))
 
 
+@query(f"SELECT doc_id, CASE WHEN {_strip('text')} = '' THEN text ELSE {_strip('text')} END AS cleaned FROM documents WHERE text IS NOT NULL")
+def ocr_after_marker_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model's reply says after its marker, for replies with the whole of each text, line feeds and later markers kept."""
+    docs = _docs(spark, sf_dir).filter(F.col("content").isNotNull())
+    reply = F.concat(F.lit("Here it is. CORRECTED TEXT:\n"), "content", F.lit("\n"))
+    return docs.select("doc_id", ocr_text.after_marker(reply, F.col("content")).alias("cleaned"))
+
+
 @query("SELECT event_id, 'REDUCTION' AS category, round(value / 1000, 6) AS confidence FROM events WHERE value BETWEEN 0 AND 1000 UNION ALL SELECT event_id, 'LLM_ERROR', 0.0 FROM events WHERE value IS NULL OR NOT value BETWEEN 0 AND 1000")
 def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies to their category, broken ones to an error."""

@@ -25,3 +25,11 @@ def test_edits_of_every_case(spark, tmp_path):
         edits = None if a is None or b is None else levenshtein(a, b)
         want[k] = (edits, 1.0 if not a or b is None else pytest.approx(min(1.0, edits / len(a)), abs=1e-6))
     assert got == want
+
+
+def test_whole_text_after_the_marker(spark, tmp_path):
+    long = "  first line\n\nsecond CORRECTED TEXT:\nthird\t" + "and so on " * 200
+    rows = [(1, long), (2, None), (3, " \n "), (4, "CORRECTED TEXT: x"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.cleaned for r in QUERIES["ocr_after_marker_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: long.strip(), 3: " \n ", 4: "CORRECTED TEXT: x", 5: ""}
