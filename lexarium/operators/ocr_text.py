@@ -63,18 +63,22 @@ def markdown_paragraph(text: Column) -> Column:
     return F.when(is_list_item(flat) & ~is_heading(flat), flat).when(is_heading(flat), F.concat(F.repeat(F.lit("#"), heading_level(flat)), F.lit(" "), flat)).otherwise(flat)
 
 
+def _page_name(page: Column) -> Column:
+    return F.coalesce(page.cast("string"), F.lit("unknown"))
+
+
 def markdown_document(pages: DataFrame) -> DataFrame:
-    """(doc_id, content): the pages (doc_id, page, text) of each document in order, with a header from page 2 on."""
+    """(doc_id, content): the pages (doc_id, page, text) of each document in order, with a header from page 2 on; text without a page comes last, as page "unknown"."""
     body = F.array_join(F.transform(paragraphs(F.coalesce("text", F.lit(""))), markdown_paragraph), "\n\n")
-    page = F.when(F.col("page") > 1, F.concat(F.lit("## Page "), F.col("page").cast("string"), F.lit("\n\n"), body)).otherwise(body)
-    ordered = F.array_sort(F.collect_list(F.struct("page", page.alias("text"))))
+    page = F.when((F.col("page") > 1) | F.col("page").isNull(), F.concat(F.lit("## Page "), _page_name(F.col("page")), F.lit("\n\n"), body)).otherwise(body)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").isNull().alias("no_page"), "page", page.alias("text"))))
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"))
 
 
 def json_document(pages: DataFrame) -> DataFrame:
-    """(doc_id, content): {"pages": {"1": {"text": ...}}}, pages in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    entries = F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["page"].cast("string").alias("key"), F.struct(x["text"].alias("text")).alias("value"))))
+    """(doc_id, content): {"pages": {"1": {"text": ...}}}, pages in order; text without a page comes last, as page "unknown"."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").isNull().alias("no_page"), "page", "text")))
+    entries = F.map_from_entries(F.transform(ordered, lambda x: F.struct(_page_name(x["page"]).alias("key"), F.struct(x["text"].alias("text")).alias("value"))))
     return pages.groupBy("doc_id").agg(F.to_json(F.struct(entries.alias("pages"))).alias("content"))
 
 

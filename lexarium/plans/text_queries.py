@@ -124,12 +124,20 @@ def sink_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page, block_key) AS content, count(*) AS n_parts FROM (SELECT DISTINCT * FROM text_blocks WHERE text IS NOT NULL AND page IS NOT NULL) GROUP BY doc_id")
 def src_combine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of each parsed document as one text."""
+    """The pages of each parsed document as one text, of the blocks whose page is known; src_combine_all_pages has every block."""
     rows = table(spark, sf_dir, "text_blocks").filter(F.col("text").isNotNull() & F.col("page").isNotNull()).distinct()
     ordered = F.array_sort(F.collect_list(F.struct("page", "block_key", "text")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("n_parts"))
 
 
+@query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page NULLS LAST, block_key) AS content, count(*) AS n_parts FROM (SELECT DISTINCT * FROM text_blocks WHERE text IS NOT NULL) GROUP BY doc_id")
+def src_combine_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text of each parsed document as one text, blocks without a page last."""
+    rows = table(spark, sf_dir, "text_blocks").filter(F.col("text").isNotNull()).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").isNull().alias("no_page"), "page", "block_key", "text")))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("n_parts"))
+
+
 # filters and projections
 
 
@@ -465,20 +473,20 @@ def ocr_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "text_blocks").filter(F.col("page").isNotNull() & (F.length("text") > 0)).select("doc_id", "page", "block_key", "text").distinct()
+    rows = table(spark, sf_dir, "text_blocks").filter(F.length("text") > 0).select("doc_id", "page", "block_key", "text").distinct()
     ordered = F.array_sort(F.collect_list(F.struct("block_key", "text")))
     return rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
 
 
 @query()
 def ocr_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as one Markdown document each."""
+    """Pages as one Markdown document each, blocks without a page last."""
     return ocr_text.markdown_document(_pages(spark, sf_dir))
 
 
 @query()
 def ocr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as one JSON document each."""
+    """Pages as one JSON document each, blocks without a page last."""
     return ocr_text.json_document(_pages(spark, sf_dir))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from lexarium.plans.catalog import QUERIES
@@ -33,3 +35,18 @@ def test_whole_text_after_the_marker(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.cleaned for r in QUERIES["ocr_after_marker_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: long.strip(), 3: " \n ", 4: "CORRECTED TEXT: x", 5: ""}
+
+
+def test_blocks_without_a_page_come_last(spark, tmp_path):
+    rows = [(5, 1, None, "late"), (4, 1, None, "early"), (4, 1, None, "early"), (9, 1, 1, "one here."), (2, 1, 2, "two here."), (3, 2, None, "all there is."), (6, 1, None, None)]
+    spark.createDataFrame(rows, "block_key long, doc_id long, page int, text string").write.parquet(f"{tmp_path}/text_blocks.parquet")
+
+    def run(name):
+        return {r.doc_id: r.content for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    assert run("src_combine_all_pages") == {1: "one here.\n\ntwo here.\n\nearly\n\nlate", 2: "all there is."}
+    assert run("ocr_markdown") == {1: "one here.\n\n## Page 2\n\ntwo here.\n\n## Page unknown\n\nearly\n\nlate", 2: "## Page unknown\n\nall there is."}
+    assert {k: list(json.loads(v)["pages"].items()) for k, v in run("ocr_json").items()} == {
+        1: [("1", {"text": "one here."}), ("2", {"text": "two here."}), ("unknown", {"text": "early\n\nlate"})],
+        2: [("unknown", {"text": "all there is."})],
+    }
