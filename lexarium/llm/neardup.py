@@ -1,17 +1,17 @@
 """Near-duplicate records with small edits (problem 4).
 
-PartEnum signatures over an equal-size feature domain. Each record's set of word shingles is first mapped to a vector
-of `GROUPS * WIDTH` features, its minima under as many hash functions, so that all records fall into one equal-size
-band and dissimilarity becomes a Hamming distance. The domain is partitioned twice, into GROUPS and each of these into
-WIDTH parts; within each group every subset of WIDTH - MISSES parts is enumerated, and its features make one
-signature. Two records with at most MISSES differing parts in some group share a signature; what shares one is then
-compared exactly, on the whole shingle sets. Exact copies are one class and compared once.
+An exact prefix-filter join over sets of word shingles. All shingles have one order, the rarer ones first; two sets of
+a similarity of at least the threshold share one of their first n - ceil(threshold * n) + 1 shingles, so only these are
+joined. How often a shingle occurs is counted in a fixed number of buckets: the order decides how many candidates there
+are, not which pairs are found. Sizes, the places of the shared shingle and parity bits of the sets bound the overlap
+from above and rule candidates out; what remains is compared exactly, on the whole sets. Exact copies are one class
+and compared once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,11 @@ from pyspark.sql import functions as F
 
 from .base import cut, map_arrow, words
 
-#: 8 groups of 4 parts of which one may differ: at a similarity of 0.7 a pair is missed with a probability of 2e-4.
-GROUPS, WIDTH, MISSES = 8, 4, 1
-FEATURES = GROUPS * WIDTH
+#: Buckets in which shingles are counted, as 16 bits each: 4 MB at any scale.
+COUNT_BUCKETS, BLOCK = 1 << 21, 1 << 15
+MOST_COUNT = (1 << 16) - 1
 CACHE_WORDS = 500_000
 
-_rng = np.random.default_rng(20)
-_A = _rng.integers(1, 2**63, FEATURES, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**63, FEATURES, dtype=np.uint64)
-
 
 class _Hashes(dict):
     """Word -> 64-bit hash, kept for the words seen lately."""
@@ -64,50 +60,72 @@ def shingles(text: str, size: int, min_words: int) -> np.ndarray | None:
     return np.unique(out)
 
 
-def _features(sets: np.ndarray, block: int = 65_536) -> np.ndarray:
-    """The minima of a set under all hash functions, block by block, so that long texts need no more memory."""
-    with np.errstate(over="ignore"):
-        parts = [((sets[at : at + block, None] * _A + _B) >> np.uint64(32)).min(axis=0) for at in range(0, len(sets), block)]
-    return np.min(parts, axis=0).astype(np.uint32).view(np.int32)
-
-
 def _long(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-#: Four bits of each feature, 16 features in a long; pairs at the threshold of 0.7 differ in more than MOST_APART of 32 with a probability of 3e-4.
-MOST_APART = 17
-_PLACE = np.arange(FEATURES // 2, dtype=np.uint64) * np.uint64(4)
-_ONES = 0x1111111111111111
+def bucket_counts(items: DataFrame, size: int, min_words: int) -> np.ndarray:
+    """In how many records the shingles of each bucket stand, MOST_COUNT at most."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNT_BUCKETS, np.int64)
+        for batch in batches:
+            sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, min_words)) is not None]
+            if sets:
+                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
+        blocks = [(k, b) for k, b in enumerate(counts.reshape(-1, BLOCK)) if b.any()]
+        if blocks:
+            yield _counted([k for k, _ in blocks], [b for _, b in blocks])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint16) for x in table["counts"].to_pylist()]
+        return pa.Table.from_batches([_counted([table["block"][0].as_py()], [np.sum(parts, axis=0, dtype=np.int64)])])
+
+    found = items.filter(F.length("text") > 0).select("text").mapInArrow(count, COUNTED)
+    out = np.zeros((COUNT_BUCKETS // BLOCK, BLOCK), np.uint16)
+    for r in found.groupBy("block").applyInArrow(total, COUNTED).collect():  # at most COUNT_BUCKETS / BLOCK rows
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
 
-def _nibbles(feature: np.ndarray) -> tuple[int, int]:
-    low = (feature.view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(2, -1) << _PLACE
-    a, b = np.bitwise_or.reduce(low, axis=1).view(np.int64).tolist()
-    return a, b
 
+COUNTED = "block int, counts binary"
 
-def _apart(a: Column, b: Column) -> Column:
-    """In how many of 16 features two longs of four bits each differ."""
-    x = a.bitwiseXOR(b)
-    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-    return F.bit_count(any_bit.bitwiseAND(F.lit(_ONES)))
 
+def _counted(blocks: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+    packed = [np.minimum(c, MOST_COUNT).astype(np.uint16).tobytes() for c in counts]
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
-SKETCH = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n_shingles int, low1 bigint, low2 bigint, feature array<int>"
 
+def prefix(own: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set by which it meets every set that is similar enough, and their places in the order; without those that no other record has."""
+    n = len(own)
+    often = counts[(own & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+    places = np.lexsort((own, often))[: n - max(1, ceil(threshold * n - 1e-6)) + 1]
+    at = np.flatnonzero(often[places] > 1)
+    return own[places[at]].view(np.int64), at
 
-def sketches(items: DataFrame, size: int, min_words: int) -> DataFrame:
-    """The fingerprint (set1, set2), size and feature vector of each record's shingle set; short and null texts give no row."""
+
+def _parity(own: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    bits = (np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
+    a, b = np.packbits(bits).view(np.int64).tolist()
+    return a, b
+
+
+SKETCH = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n_shingles int, low1 bigint, low2 bigint, shingle array<bigint>, place array<int>"
+
+
+def sketches(items: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
+    """The fingerprint (set1, set2), size, parity bits and prefix of each record's shingle set; short and null texts give no row."""
+    counts = items.sparkSession.sparkContext.broadcast(bucket_counts(items, size, min_words))
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("rec_table", "rec_id", "set1", "set2", "n_shingles", "low1", "low2", "feature")}
+        out: dict[str, list] = {k: [] for k in ("rec_table", "rec_id", "set1", "set2", "n_shingles", "low1", "low2", "shingle", "place")}
         for rec_table, rec_id, text in zip(cols["rec_table"], cols["rec_id"], cols["text"]):
             own = shingles(text, size, min_words)
             if own is not None:
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                feature = _features(own)
-                for k, v in zip(out, (rec_table, rec_id, _long(digest >> 64), _long(digest & (2**64 - 1)), len(own), *_nibbles(feature), feature)):
+                for k, v in zip(out, (rec_table, rec_id, _long(digest >> 64), _long(digest & (2**64 - 1)), len(own), *_parity(own), *prefix(own, counts.value, threshold))):
                     out[k].append(v)
         return out
 
@@ -115,31 +133,28 @@ def sketches(items: DataFrame, size: int, min_words: int) -> DataFrame:
 
 
 def _representatives(found: DataFrame) -> DataFrame:
-    """One row for each distinct shingle set: its least record, how many rows have it, its size and features."""
-    return found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), F.first("n_shingles").alias("n_shingles"), F.first("low1").alias("low1"), F.first("low2").alias("low2"), F.first("feature").alias("feature"))
-
-
-def _signatures() -> Column:
-    """One signature for each subset of parts of each group."""
-    out = []
-    for g in range(GROUPS):
-        for s, parts in enumerate(combinations(range(WIDTH), WIDTH - MISSES)):
-            out.append(F.xxhash64(F.lit(g * WIDTH + s), F.col("rec_table"), *(F.col("feature")[g * WIDTH + p] for p in parts)))
-    return F.array(*out)
+    """One row for each distinct shingle set: its least record, how many rows have it, its size, parity bits and prefix."""
+    return found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), *(F.first(c).alias(c) for c in ("n_shingles", "low1", "low2", "shingle", "place")))
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a signature and may reach the threshold by their sizes and features.
+    """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a shingle of their prefixes and may reach the threshold.
 
-    Texts of one kind share many a signature by chance; the four bits of each feature that travel with a signature rule
-    these out within the join, so that what leaves it grows with the pairs there are.
+    Texts of one kind share many a shingle; the sizes, places and parity bits that travel with it bound the overlap
+    within the join, so that what leaves it grows with the pairs there are.
     """
-    signed = reps.select("rec_table", "rep_id", "n_shingles", "low1", "low2", F.explode(_signatures()).alias("signature"))
+    token = F.explode(F.arrays_zip("shingle", "place")).alias("token")
+    signed = reps.select("rec_table", "rep_id", "n_shingles", "low1", "low2", token).select("rec_table", "rep_id", "n_shingles", "low1", "low2", F.col("token.shingle").alias("shingle"), F.col("token.place").alias("place"))
     a = signed.select(*(F.col(c).alias(f"{c}_a") for c in signed.columns))
     b = signed.select(*(F.col(c).alias(f"{c}_b") for c in signed.columns))
-    fits = (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("rep_id_a") < F.col("rep_id_b")) & (F.least("n_shingles_a", "n_shingles_b") >= F.greatest("n_shingles_a", "n_shingles_b") * (threshold - 1e-9))
-    near = _apart(F.col("low1_a"), F.col("low1_b")) + _apart(F.col("low2_a"), F.col("low2_b")) <= MOST_APART
-    return a.join(b.hint("merge"), (F.col("signature_a") == F.col("signature_b")) & fits & near).select(F.col("rec_table_a").alias("rec_table"), F.col("rep_id_a").alias("rep_a"), F.col("rep_id_b").alias("rep_b")).distinct()
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    least = F.ceil(both * (threshold / (1 + threshold)) - 1e-6)  # shingles that a pair at the threshold shares
+    fits = (F.col("rep_id_a") < F.col("rep_id_b")) & (F.least("n_shingles_a", "n_shingles_b") >= F.greatest("n_shingles_a", "n_shingles_b") * (threshold - 1e-9))
+    # The first shingle that a pair shares has all others behind it, in both.
+    behind = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b")) >= least
+    apart = F.bit_count(F.col("low1_a").bitwiseXOR(F.col("low1_b"))) + F.bit_count(F.col("low2_a").bitwiseXOR(F.col("low2_b"))) <= both - 2 * least
+    same = (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("shingle_a") == F.col("shingle_b"))
+    return a.join(b.hint("merge"), same & fits & behind & apart).select(F.col("rec_table_a").alias("rec_table"), F.col("rep_id_a").alias("rep_a"), F.col("rep_id_b").alias("rep_b")).distinct()
 
 
 #: Bits of the map of wanted records, in buckets of as many bits as Spark's bitmap functions use: 512 KB at any scale.
@@ -198,7 +213,7 @@ def near_duplicates(items: DataFrame, threshold: float = 0.8, size: int = 5, min
     repeated rows count once; an id with several texts belongs to the class of each. The sketches and the candidate pairs are cut to the
     checkpoint folder, so this starts jobs.
     """
-    found = cut(sketches(items, size, min_words))
+    found = cut(sketches(items, threshold, size, min_words))
     reps = _representatives(found)
     pairs = cut(candidates(reps, threshold))
     several = found.select("rec_table", "rec_id", "set1", "set2").join(reps.filter("last_id <> rep_id").select("rec_table", "set1", "set2", "rep_id"), ["rec_table", "set1", "set2"], "left")

@@ -1,0 +1,32 @@
+"""What the operators once left out: pairs at the threshold, unwrapped scans, short pages."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import pytest
+
+from lexarium.llm import neardup
+from lexarium.llm.base import words
+
+
+def jaccard(a, b, size):
+    x, y = ({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (words(a), words(b)))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7])
+def test_p4_finds_every_pair_at_the_threshold(spark, threshold):
+    """Pairs barely above and below the threshold; none may be lost by chance."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(150):
+        ws = [f"w{rng.randrange(4000)}" for _ in range(120)]
+        tail = round(120 * (1 - threshold) / (1 + threshold)) + k % 7 - 3
+        texts += [" ".join(ws), " ".join(ws[: 120 - tail] + [f"v{rng.randrange(4000)}" for _ in range(tail)])]
+    items = spark.createDataFrame([("documents", k, t) for k, t in enumerate(texts)], "rec_table string, rec_id long, text string")
+    _, links = neardup.near_duplicates(items, threshold, 3, 20)
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if a // 2 == b // 2 and jaccard(texts[a], texts[b], 3) >= threshold}
+    assert 30 < len(want) < 150
+    assert {(r.rep_a, r.rep_b) for r in links.collect()} == want
