@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from lexarium.llm import neardup
+from lexarium.llm import neardup, stuffing
 from lexarium.llm.base import words
 
 
@@ -30,3 +30,10 @@ def test_p4_finds_every_pair_at_the_threshold(spark, threshold):
     want = {(a, b) for a, b in combinations(range(len(texts)), 2) if a // 2 == b // 2 and jaccard(texts[a], texts[b], 3) >= threshold}
     assert 30 < len(want) < 150
     assert {(r.rep_a, r.rep_b) for r in links.collect()} == want
+
+
+def test_p9_short_pages_are_judged(spark):
+    links = " ".join(f"https://shop{k}.example/a" for k in range(3))
+    rows = [(1, links), (2, "#valves #pumps #sensors #cheap #order"), (3, "Valve closed"), (4, "See https://docs.example/a for the notes that we keep on this"), (5, "valve valve"), (6, "--"), (7, "Acme pump 3000; Acme pump 4000; Acme pump 5000")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(frame).collect()} == {1, 2, 7} == {k for k, t in rows if stuffing.is_stuffed(t)}
