@@ -144,6 +144,11 @@ def page_parts(text: str, title: str | None, source: str | None, block: bool, co
     return sorted(heads), sorted(numbers)
 
 
+def number_lines(text: str) -> list[tuple[int, int]]:
+    """Spans of the lines that are page numbers and nothing else, whatever the width of the other lines."""
+    return [m.span() for m in re.finditer(r"(?:^|(?<=[\n\x0c]))[^\n\x0c]{1,40}(?=[\n\x0c]|$)", text) if _OWN_NUMBER.match(m.group().strip())]
+
+
 def _cuts(text: str, block: bool) -> Iterator[tuple[str, str, int, int]]:
     """The parts of each word cut at the end of a line, and where the cut begins and ends; hyphens left hanging before a joining word are none."""
     for m in _CUT[block].finditer(text):
@@ -272,9 +277,8 @@ def probes(items: DataFrame, noisy: bytes) -> DataFrame:
         rows: list[tuple] = []
         noisy_words = _Members(packed.value)
         for rec_table, rec_id, text, title, source, code, block in zip(*(cols[c] for c in ("rec_table", "rec_id", "text", "title", "source", "code", "block"))):
-            if not block and not is_wrapped(text):
-                continue
-            heads, numbers = page_parts(text, title, source, block, code)
+            scanned = block or is_wrapped(text)
+            heads, numbers = page_parts(text, title, source, block, code) if scanned else ([], number_lines(text))
             key = (rec_table, rec_id)
             if heads:
                 rows.append((*key, "running_head", None, None, None, None, None))
@@ -282,6 +286,8 @@ def probes(items: DataFrame, noisy: bytes) -> DataFrame:
                 rows.append((*key, "page_number", None, None, None, None, None))
             for a, b in set(cut_words(text, block)):
                 rows.append((*key, "hyphenation", f"{a}-{b}".lower(), None, None, None, None))
+            if not scanned:
+                continue
             text = joined(text, block)
             for w in mixed_words(text):
                 inside = re.fullmatch(r"[^\W\d_]+(?:[0159|][^\W\d_]+){1,3}", w)
@@ -320,7 +326,8 @@ def find_noise(items: DataFrame, context: bool = True) -> DataFrame:
     """(rec_table, rec_id, kind, noisy, fix): the noise of each record.
 
     items: rec_table, rec_id, text, title, source, code (the number of the file), block, which tells that the lines of the text
-    are joined by spaces. Other texts count as scanned if their lines have a page's width. Null and empty texts give no
+    are joined by spaces. Heads and misread letters of other texts
+    are told only if their lines have a page's width, cut words and page-number lines always. Null and empty texts give no
     rows, repeated rows count once; a null title or source only takes the heads away that would be told by it. noisy
     and fix are null for heads and page numbers; for a cut word they are the hyphenated and the joined form. context
     counts the neighbours of ambiguous words in a further pass over the texts, to pick among several fixes; without it the
@@ -350,14 +357,15 @@ def find_noise(items: DataFrame, context: bool = True) -> DataFrame:
 
 def repaired(text: str, title: str | None, source: str | None, block: bool, code: str | None, fixes: dict[str, str], uncut: set[str]) -> str:
     """A text without heads and page numbers, its cut words joined but for the compounds in `uncut`, its misread words
-    restored, and its lines run on within paragraphs."""
-    heads, numbers = page_parts(text, title, source, block, code)
+    restored, and its lines run on within paragraphs. Where the lines aren't those of a page they stay, but for cut words and page numbers."""
+    scanned = block or is_wrapped(text)
+    heads, numbers = page_parts(text, title, source, block, code) if scanned else ([], [(a, b + (text[b : b + 1] == "\n")) for a, b in number_lines(text)])
     for a, b in sorted({*heads, *numbers}, reverse=True):
         text = text[:a].rstrip(" ") + ("\n" if not block and text[:a].rstrip(" ")[-1:] not in ("\n", "\x0c", "") else " " if block else "") + text[b:].lstrip(" ")
     text = re.sub(r"\n[ \t]*\n?\x0c\s*|\x0c\s*", "\n", text)
 
     text = joined(text, block, uncut)
-    if not block:
+    if scanned and not block:
         text = "\n\n".join(" ".join(p.split("\n")) for p in re.split(r"\n[ \t]*\n", text))
 
     def restore(m: re.Match) -> str:

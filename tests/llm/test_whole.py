@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from lexarium.llm import neardup, stuffing
+from lexarium.llm import neardup, scans, stuffing
 from lexarium.llm.base import words
 
 
@@ -37,3 +37,13 @@ def test_p9_short_pages_are_judged(spark):
     rows = [(1, links), (2, "#valves #pumps #sensors #cheap #order"), (3, "Valve closed"), (4, "See https://docs.example/a for the notes that we keep on this"), (5, "valve valve"), (6, "--"), (7, "Acme pump 3000; Acme pump 4000; Acme pump 5000")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in stuffing.stuffed_pages(frame).collect()} == {1, 2, 7} == {k for k, t in rows if stuffing.is_stuffed(t)}
+
+
+def test_p6_cut_words_and_numbers_outside_of_pages(spark):
+    long = "One paragraph that isn't wrapped " * 8
+    rows = [(1, f"{long}\nand a pres-\nsure line\nPage 3 of 9\nthe end"), (2, "a very short mod-\nule"), (3, f"{long}\n- 7 -"), (4, long + "\n- first\n- second")]
+    items = spark.createDataFrame([("documents", k, t, None, None, None, False) for k, t in rows], "rec_table string, rec_id long, text string, title string, source string, code string, block boolean")
+    noise = scans.find_noise(items, context=False)
+    assert {(r.rec_id, r.kind) for r in noise.collect()} == {(1, "hyphenation"), (1, "page_number"), (2, "hyphenation"), (3, "page_number")}
+    fixed = {r.rec_id: r.restored for r in scans.repair_scans(items, noise).collect()}
+    assert "and a pressure line\nthe end" in fixed[1] and "Page 3" not in fixed[1] and fixed[2] == "a very short module" and "7" not in fixed[3]
