@@ -1,43 +1,39 @@
 """Near-duplicate records with small edits (problem 4).
 
-An exact prefix-filter join over sets of word shingles. All shingles have one order, the rarer ones first; two sets of
-a similarity of at least the threshold share one of their first n - ceil(threshold * n) + 1 shingles, so only these are
-joined. How often a shingle occurs is counted in a fixed number of buckets: the order decides how many candidates there
-are, not which pairs are found. Sizes, the places of the shared shingle and parity bits of the sets bound the overlap
-from above and rule candidates out; what remains is compared exactly, on the whole sets. Exact copies are one class
-and compared once.
+PartEnum signatures: the domain of word shingles is partitioned, and what a set has in one part makes a signature, so
+that two similar sets of one band of sizes agree in some part and share its signature. A band's pairs at the threshold
+differ in at most a known number of shingles; from it follow how many parts there are and how many shingles a part must
+hold to count (`band_plan`). Subsets of one part each give the fewest signatures. A set signs in its own band and in those
+of the larger sets it may match. Of the pairs that share a signature, bits of sketches, the sizes and the parities of the
+sets rule out most that are far apart; the rest are compared exactly, on the whole sets. Copies, records of one shingle
+set, are one class and sign once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import ceil, comb, exp, floor, log, log1p
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, map_arrow, words
+from .base import WORD, cut, map_arrow
 
-#: Buckets in which shingles are counted, as 16 bits each: 4 MB at any scale.
-COUNT_BUCKETS, BLOCK = 1 << 21, 1 << 15
-MOST_COUNT = (1 << 16) - 1
-CACHE_WORDS = 500_000
+#: Upper bounds of the band sizes grow by this factor.
+BAND = 1.6
+#: A pair at the threshold is missed by its signatures, or by the bits of its sketches, with at most this probability each; more similar ones with less.
+MISS = 1e-6
+MOST_SHINGLES = 8  # that a part has to hold to count
+SKETCH_BITS = 64
+#: Beyond so many copies they are sorted out by a shuffle of signatures instead of a broadcast of ids (some 50 bytes each).
+BROADCAST_ROWS = 500_000
+BLOCK_CHARS = 1 << 20
 
-
-class _Hashes(dict):
-    """Word -> 64-bit hash, kept for the words seen lately."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+_STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,115 +42,285 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """Which code points are letters or digits."""
+    flags = np.zeros(0x110000, bool)
+    every = "".join(map(chr, range(0x110000)))
+    for m in WORD.finditer(every):
+        flags[m.start() : m.end()] = True
+    return flags
+
+
+_FACTOR = 0xC2B2AE3D27D4EB4F
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a factor and of its inverse modulo 2^64."""
+    out = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of an array of code points begins, and its hash, from one running sum over the block."""
+    inside = _in_words()[codes]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edge[::2], edge[1::2]
+    hashes = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):  # whole words, about BLOCK_CHARS characters at a time
+        upto = max(at + 1, int(np.searchsorted(end, begin[at] + BLOCK_CHARS)))
+        low, high = int(begin[at]), int(end[upto - 1])
+        size = BLOCK_CHARS if high - low <= BLOCK_CHARS else high - low
+        power, inverse = _powers(size)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[low:high].astype(np.uint64) * power[: high - low])])
+            a, b = begin[at:upto] - low, end[at:upto] - low
+            hashes[at:upto] = _mix((total[b] - total[a]) * inverse[a])
+        at = upto
+    return begin, hashes
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    ordered = np.sort(hashes)
+    return ordered[np.diff(ordered, prepend=~ordered[:1]) != 0]
+
+
+def shingle_sets(texts: list[str], size: int, min_words: int) -> Iterator[np.ndarray | None]:
+    """For each text the sorted distinct hashes of all its runs of `size` words, None for texts of fewer than min_words words."""
+    least, at = max(size, min_words, 1), 0
+    while at < len(texts):
+        block, chars = [], 0
+        while at < len(texts) and (not block or chars + len(texts[at]) <= BLOCK_CHARS):
+            block.append(texts[at].lower())
+            chars += len(texts[at])
+            at += 1
+        offsets = np.cumsum([0, *(len(t) + 1 for t in block)])
+        begin, h = word_hashes(np.frombuffer("\n".join(block).encode("utf-32-le", "surrogatepass"), np.uint32))
+        runs = np.zeros(max(0, len(h) - size + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                runs = _mix(runs * _STEP + h[k : k + len(runs)])
+        first = np.searchsorted(begin, offsets)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield _distinct(runs[a : b - size + 1]) if b - a >= least else None
+
+
 def shingles(text: str, size: int, min_words: int) -> np.ndarray | None:
-    """The sorted distinct hashes of all runs of `size` words, None for texts of fewer than min_words words."""
-    ws = words(text)
-    if len(ws) < max(size, min_words):
-        return None
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    n = len(ws) - size + 1
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    """The shingle set of one text; see shingle_sets."""
+    return next(shingle_sets([text], size, min_words))
 
 
 def _long(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def bucket_counts(items: DataFrame, size: int, min_words: int) -> np.ndarray:
-    """In how many records the shingles of each bucket stand, MOST_COUNT at most."""
+def _missed(parts: int, least: int, d: int, c: int) -> float:
+    """A bound of the probability that no part holds `least` of the c shingles of a pair in common and none of the d others."""
+    if parts == 1:
+        return float(d > 0 or c < least)
+    q = 1 / parts
+    held = 1 - sum(comb(c, i) * q**i * (1 - q) ** (c - i) for i in range(least)) if c < 2000 else 1 - sum(exp(i * log(c * q) - c * q) / (1, 1, 2, 6, 24, 120, 720, 5040)[i] for i in range(least))
+    good = (1 - q) ** d * max(held, 0.0)
+    bound = exp(parts * log1p(-good)) if good < 1 else 0.0  # the parts' numbers of shingles are negatively associated
+    if least > 1 or d > 64:
+        return bound
+    taken = np.zeros(d + 2)  # how many parts the d others fall into; all in common must fall into these as well
+    taken[0] = 1
+    m = np.arange(d + 2)
+    for _ in range(d):
+        taken[1:] = taken[1:] * m[1:] * q + taken[:-1] * np.maximum(1 - m[:-1] * q, 0)
+        taken[0] = 0
+    return min(bound, float((taken * (np.minimum(m, parts) * q) ** c).sum()))
+
+
+def band_edge(band: int) -> int:
+    """The largest set of a band."""
+    return floor(BAND**band + 1e-9)
+
+
+def band_of(n: int) -> int:
+    band = max(0, ceil(log(n) / log(BAND) - 1e-9))
+    return band if n <= band_edge(band) else band + 1
+
+
+@lru_cache(maxsize=4096)
+def band_plan(band: int, threshold: float) -> tuple[int, int]:
+    """(parts, least): into how many parts the domain falls for a band, and how many shingles of a set a part must hold.
+
+    The plan of fewest signatures that misses no pair of the band at the threshold with more than MISS; 0 parts stand for
+    every shingle by itself, which misses none.
+    """
+    low, high = (band_edge(band - 1) if band else 0) + 1, band_edge(band)
+    sums = np.unique(np.linspace(ceil(low * (1 + threshold) - 1e-9), 2 * high, 5).astype(int))
+    pairs = [(d, (int(s) - d) // 2) for s in sums for d in [floor(s * (1 - threshold) / (1 + threshold) + 1e-9)]]
+    best = (float(high), 0, 1)
+    n = (low + high) / 2
+    for least in range(1, MOST_SHINGLES + 1):
+        first = max(1, pairs[-1][0] // 12)
+        for parts in range(first, high):
+            if parts >= best[0] * 2:
+                break
+            if all(_missed(parts, least, d, c) <= MISS for d, c in reversed(pairs)):
+                mean = n / parts
+                signed = parts * (1 - sum(exp(-mean) * mean**i / (1, 1, 2, 6, 24, 120, 720, 5040)[i] for i in range(least)))
+                best = min(best, (signed, parts, least))
+                break
+    return best[1:]
+
+
+def most_apart(threshold: float) -> int:
+    """In how many bits the sketches of a pair at the threshold may differ."""
+    p, tail = (1 - threshold) / 2, 0.0
+    for k in range(SKETCH_BITS, -1, -1):
+        tail += comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k)
+        if tail > MISS:
+            return k
+    return 0
+
+
+def signatures(own: np.ndarray, threshold: float, band: int) -> np.ndarray:
+    """The signatures of a set in a band."""
+    parts, least = band_plan(band, threshold)
+    salt = np.uint64((band + 1) * int(_SALT) % 2**64)
+    with np.errstate(over="ignore"):
+        mixed = _mix(own + _SALT)
+        if not parts:
+            return _mix(mixed + salt).view(np.int64)
+        # The set is sorted by its hashes, and the parts are ranges of these.
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+        counts = np.bincount((((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
+        ends = np.cumsum(counts)
+        held = np.flatnonzero(counts >= least)
+        return _mix((sums[ends[held]] - sums[ends[held] - counts[held]]) + (held.astype(np.uint64) + np.uint64(1)) * _STEP + salt).view(np.int64)
+
+
+def bands(n: int, threshold: float) -> range:
+    """The bands in which a set of n shingles signs: its own and those of the larger sets that it may match."""
+    return range(band_of(n), band_of(floor(n / threshold + 1e-9)) + 1)
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNT_BUCKETS, np.int64)
+#: Up to this size of a band its sketches are of minima under 64 functions, beyond it of the minima of 64 ranges of one function, none of which is empty then.
+MINIMA_EDGE = 250
+_BIN = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(58)
+_FUNCTIONS = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * _SALT) | np.uint64(1)
+
+
+def sketch(own: np.ndarray, band: int) -> int:
+    """64 bits, one of each of 64 minima: two sets differ in each with half their dissimilarity."""
+    with np.errstate(over="ignore"):
+        if band_edge(band) <= MINIMA_EDGE:
+            least = (_mix(own)[:, None] * _FUNCTIONS).min(axis=0)
+            bits = _mix(least) & np.uint64(1)
+        else:
+            mixed = np.sort(_mix(own * _STEP + _SALT))
+            at = np.searchsorted(mixed, _BIN)
+            least = mixed[np.minimum(at, len(mixed) - 1)]
+            bits = (least & np.uint64(1)) * ((at < len(mixed)) & (least >> np.uint64(58) == _BIN >> np.uint64(58)))
+    return int(np.packbits(bits.astype(np.uint8)).view(np.int64)[0])
+
+
+#: parities: 256 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits.
+PARITIES = 4
+DIGEST = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n int, " + ", ".join(f"parity{k} bigint" for k in range(PARITIES))
+SIGNED = "rec_table string, rec_id bigint, signature bigint, low bigint"
+SIGNED_SETS = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, signed array<struct<signature: bigint, low: bigint>>"
+
+
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(own.tobytes())
+    return _long(digest >> 64), _long(digest & (2**64 - 1))
+
+
+def _each(items: DataFrame, schema: str, size: int, min_words: int, rows: Callable[[list, list, list[np.ndarray]], list]) -> DataFrame:
+    """Apply rows to the tables, ids and shingle sets of each batch of records; short and null texts are left out."""
+    from .base import _arrow_schema
+
+    arrow = _arrow_schema(items, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, min_words)) is not None]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
-        blocks = [(k, b) for k, b in enumerate(counts.reshape(-1, BLOCK)) if b.any()]
-        if blocks:
-            yield _counted([k for k, _ in blocks], [b for _, b in blocks])
-
-    def total(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint16) for x in table["counts"].to_pylist()]
-        return pa.Table.from_batches([_counted([table["block"][0].as_py()], [np.sum(parts, axis=0, dtype=np.int64)])])
-
-    found = items.filter(F.length("text") > 0).select("text").mapInArrow(count, COUNTED)
-    out = np.zeros((COUNT_BUCKETS // BLOCK, BLOCK), np.uint16)
-    for r in found.groupBy("block").applyInArrow(total, COUNTED).collect():  # at most COUNT_BUCKETS / BLOCK rows
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
-    return out.ravel()
+            tables, ids, texts = (c.to_pylist() for c in batch.columns)
+            kept = [(t, i, s) for t, i, s in zip(tables, ids, shingle_sets(texts, size, min_words)) if s is not None]
+            if kept:
+                columns = rows(*map(list, zip(*kept)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    return items.filter(F.length("text") > 0).select("rec_table", "rec_id", "text").mapInArrow(run, schema)
 
-COUNTED = "block int, counts binary"
 
+def digests(items: DataFrame, size: int, min_words: int) -> DataFrame:
+    """The fingerprint (set1, set2), size and parities of each record's shingle set."""
 
-def _counted(blocks: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
-    packed = [np.minimum(c, MOST_COUNT).astype(np.uint16).tobytes() for c in counts]
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+    def row(own: np.ndarray) -> tuple[int, ...]:
+        odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * PARITIES) & 1
+        return *_digest(own), len(own), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
+    return _each(items, DIGEST, size, min_words, lambda tables, ids, sets: [tables, ids, *zip(*map(row, sets))])
 
-def prefix(own: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a set by which it meets every set that is similar enough, and their places in the order; without those that no other record has."""
-    n = len(own)
-    often = counts[(own & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
-    places = np.lexsort((own, often))[: n - max(1, ceil(threshold * n - 1e-6)) + 1]
-    at = np.flatnonzero(often[places] > 1)
-    return own[places[at]].view(np.int64), at
 
+def _signed(own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set in all its bands, and with each the sketch of the band."""
+    found = [(signatures(own, threshold, b), sketch(own, b)) for b in bands(len(own), threshold)]
+    return np.concatenate([x for x, _ in found]), np.repeat([low for _, low in found], [len(x) for x, _ in found])
 
-def _parity(own: np.ndarray) -> tuple[int, int]:
-    """128 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
-    bits = (np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-    a, b = np.packbits(bits).view(np.int64).tolist()
-    return a, b
 
+def signed(items: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
+    """(rec_table, rec_id, signature, low): one row for each signature of each record."""
 
-SKETCH = "rec_table string, rec_id bigint, set1 bigint, set2 bigint, n_shingles int, low1 bigint, low2 bigint, shingle array<bigint>, place array<int>"
+    def rows(tables: list, ids: list, sets: list[np.ndarray]) -> list:
+        own = [_signed(s, threshold) for s in sets]
+        n = [len(x) for x, _ in own]
+        repeated = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(tables), dtype=np.int32), n), pa.array(tables)).cast(pa.string())
+        return [repeated, np.repeat(np.array(ids, np.int64), n), np.concatenate([x for x, _ in own]), np.concatenate([low for _, low in own])]
 
+    return _each(items, SIGNED, size, min_words, rows)
 
-def sketches(items: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
-    """The fingerprint (set1, set2), size, parity bits and prefix of each record's shingle set; short and null texts give no row."""
-    counts = items.sparkSession.sparkContext.broadcast(bucket_counts(items, size, min_words))
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("rec_table", "rec_id", "set1", "set2", "n_shingles", "low1", "low2", "shingle", "place")}
-        for rec_table, rec_id, text in zip(cols["rec_table"], cols["rec_id"], cols["text"]):
-            own = shingles(text, size, min_words)
-            if own is not None:
-                digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                for k, v in zip(out, (rec_table, rec_id, _long(digest >> 64), _long(digest & (2**64 - 1)), len(own), *_parity(own), *prefix(own, counts.value, threshold))):
-                    out[k].append(v)
-        return out
+def representatives_signed(items: DataFrame, classes: DataFrame, copies: DataFrame, threshold: float, size: int, min_words: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The signatures of one record of each class.
 
-    return map_arrow(items.filter(F.length("text") > 0).select("rec_table", "rec_id", "text"), SKETCH, work)
+    Few copies are taken out by a broadcast of their ids. Where there are more than broadcast_rows, every record is
+    signed in one row and meets the representatives by its fingerprint.
+    """
+    if copies.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return signed(items.join(F.broadcast(copies), ["rec_table", "rec_id"], "left_anti"), threshold, size, min_words)
 
+    def rows(tables: list, ids: list, sets: list[np.ndarray]) -> list:
+        own = [_signed(s, threshold) for s in sets]
+        return [tables, ids, *zip(*map(_digest, sets)), [[{"signature": x, "low": y} for x, y in zip(a.tolist(), b.tolist())] for a, b in own]]
 
-def _representatives(found: DataFrame) -> DataFrame:
-    """One row for each distinct shingle set: its least record, how many rows have it, its size, parity bits and prefix."""
-    return found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), *(F.first(c).alias(c) for c in ("n_shingles", "low1", "low2", "shingle", "place")))
+    every = _each(items, SIGNED_SETS, size, min_words, rows)
+    first = classes.select("rec_table", "set1", "set2", F.col("rep_id").alias("rec_id"))
+    return every.join(first, ["rec_table", "set1", "set2", "rec_id"], "left_semi").select("rec_table", "rec_id", F.inline("signed"))
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a shingle of their prefixes and may reach the threshold.
+def candidates(signed_records: DataFrame, threshold: float) -> DataFrame:
+    """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a signature and whose sketches are near enough.
 
-    Texts of one kind share many a shingle; the sizes, places and parity bits that travel with it bound the overlap
+    Texts of one kind share some signatures by chance; the bits that travel with a signature rule most of these out
     within the join, so that what leaves it grows with the pairs there are.
     """
-    token = F.explode(F.arrays_zip("shingle", "place")).alias("token")
-    signed = reps.select("rec_table", "rep_id", "n_shingles", "low1", "low2", token).select("rec_table", "rep_id", "n_shingles", "low1", "low2", F.col("token.shingle").alias("shingle"), F.col("token.place").alias("place"))
-    a = signed.select(*(F.col(c).alias(f"{c}_a") for c in signed.columns))
-    b = signed.select(*(F.col(c).alias(f"{c}_b") for c in signed.columns))
-    both = F.col("n_shingles_a") + F.col("n_shingles_b")
-    least = F.ceil(both * (threshold / (1 + threshold)) - 1e-6)  # shingles that a pair at the threshold shares
-    fits = (F.col("rep_id_a") < F.col("rep_id_b")) & (F.least("n_shingles_a", "n_shingles_b") >= F.greatest("n_shingles_a", "n_shingles_b") * (threshold - 1e-9))
-    # The first shingle that a pair shares has all others behind it, in both.
-    behind = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b")) >= least
-    apart = F.bit_count(F.col("low1_a").bitwiseXOR(F.col("low1_b"))) + F.bit_count(F.col("low2_a").bitwiseXOR(F.col("low2_b"))) <= both - 2 * least
-    same = (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("shingle_a") == F.col("shingle_b"))
-    return a.join(b.hint("merge"), same & fits & behind & apart).select(F.col("rec_table_a").alias("rec_table"), F.col("rep_id_a").alias("rep_a"), F.col("rep_id_b").alias("rep_b")).distinct()
+    columns = ("signature", "rec_table", "rec_id", "low")
+    a, b = (signed_records.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    near = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) <= most_apart(threshold)
+    same = (F.col("signature_a") == F.col("signature_b")) & (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("rec_id_a") < F.col("rec_id_b"))
+    return a.join(b.hint("merge"), same & near).select(F.col("rec_table_a").alias("rec_table"), F.col("rec_id_a").alias("rep_a"), F.col("rec_id_b").alias("rep_b")).distinct()
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sizes and parities leave it possible that they reach the threshold; rules out no other."""
+    measures = ["n", *(f"parity{k}" for k in range(PARITIES))]
+    for side in "ab":
+        pairs = pairs.join(classes.select("rec_table", F.col("rep_id").alias(f"rep_{side}"), *(F.col(m).alias(f"{m}_{side}") for m in measures)), ["rec_table", f"rep_{side}"])
+    differ = sum((F.bit_count(F.col(f"parity{k}_a").bitwiseXOR(F.col(f"parity{k}_b"))) for k in range(PARITIES)), F.lit(0))
+    most = F.floor((F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    return pairs.filter((differ <= most) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9))).select("rec_table", "rep_a", "rep_b").distinct()
 
 
 #: Bits of the map of wanted records, in buckets of as many bits as Spark's bitmap functions use: 512 KB at any scale.
@@ -183,12 +349,13 @@ def compare(items: DataFrame, pairs: DataFrame, threshold: float, size: int, min
         for batch in batches:
             kept = batch.filter(pa.array(bits.value[batch.column(2).to_numpy(zero_copy_only=False)]))
             if kept.num_rows:
-                sets = [shingles(t, size, min_words) for t in kept.column(3).to_pylist()]
-                arrays = pa.array([[] if s is None else s.astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
+                sets = [np.zeros(0, np.int64) if s is None else s.view(np.int64) for s in shingle_sets(kept.column(3).to_pylist(), size, min_words)]
+                flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+                arrays = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), flat)
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), arrays], names=["rec_table", "rec_id", "shingle"])
 
     texts = items.filter(F.length("text") > 0).select("rec_table", "rec_id", bit.alias("bit"), "text")
-    sets = texts.mapInArrow(sets_of, "rec_table string, rec_id bigint, shingle array<int>")
+    sets = texts.mapInArrow(sets_of, "rec_table string, rec_id bigint, shingle array<bigint>")
     joined = pairs.join(sets.withColumnsRenamed({"rec_id": "rep_a", "shingle": "shingle_a"}), ["rec_table", "rep_a"]).join(sets.withColumnsRenamed({"rec_id": "rep_b", "shingle": "shingle_b"}), ["rec_table", "rep_b"])
 
     def work(cols: dict[str, list]) -> dict[str, list]:
@@ -210,14 +377,19 @@ def near_duplicates(items: DataFrame, threshold: float = 0.8, size: int = 5, min
     items: rec_table, rec_id, text. Gives (rec_table, rec_id, rep_id), one row for each record of at least min_words
     words with the least id among those of the same shingle set, and (rec_table, rep_a, rep_b, similarity) with
     rep_a < rep_b, the classes linked. Links are only within a rec_table. Null, empty and short texts give no rows;
-    repeated rows count once; an id with several texts belongs to the class of each. The sketches and the candidate pairs are cut to the
-    checkpoint folder, so this starts jobs.
+    repeated rows count once; an id with several texts belongs to the class of each. Fingerprints and candidate pairs are cut
+    to the checkpoint folder, so this starts jobs.
     """
-    found = cut(sketches(items, threshold, size, min_words))
-    reps = _representatives(found)
-    pairs = cut(candidates(reps, threshold))
-    several = found.select("rec_table", "rec_id", "set1", "set2").join(reps.filter("last_id <> rep_id").select("rec_table", "set1", "set2", "rep_id"), ["rec_table", "set1", "set2"], "left")
-    member = several.select("rec_table", "rec_id", F.coalesce("rep_id", "rec_id").alias("rep_id")).distinct()
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie between 0 and 1")
+    found = cut(digests(items, size, min_words))
+    measures = ["n", *(f"parity{k}" for k in range(PARITIES))]
+    classes = found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"), F.max("rec_id").alias("last_id"), *(F.first(m).alias(m) for m in measures))
+    copied = classes.filter("last_id <> rep_id").select("rec_table", "set1", "set2", "rep_id")
+    member = found.select("rec_table", "rec_id", "set1", "set2").join(copied, ["rec_table", "set1", "set2"], "left").select("rec_table", "rec_id", F.coalesce("rep_id", "rec_id").alias("rep_id")).distinct()
+    copies = cut(member.groupBy("rec_table", "rec_id").agg(F.bool_or(F.col("rep_id") == F.col("rec_id")).alias("first")).filter("not first").select("rec_table", "rec_id"))
+    by_chance = candidates(representatives_signed(items, classes, copies, threshold, size, min_words), threshold)
+    pairs = cut(near_enough(by_chance, classes, threshold))
     return member, compare(items, pairs, threshold, size, min_words)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexarium.llm import neardup, scans, stuffing
 from lexarium.llm.base import words
@@ -47,3 +49,37 @@ def test_p6_cut_words_and_numbers_outside_of_pages(spark):
     assert {(r.rec_id, r.kind) for r in noise.collect()} == {(1, "hyphenation"), (1, "page_number"), (2, "hyphenation"), (3, "page_number")}
     fixed = {r.rec_id: r.restored for r in scans.repair_scans(items, noise).collect()}
     assert "and a pressure line\nthe end" in fixed[1] and "Page 3" not in fixed[1] and fixed[2] == "a very short module" and "7" not in fixed[3]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.8, 0.95])
+def test_p4_plans_miss_few_pairs(threshold):
+    """Signatures and sketches of random pairs at the threshold, in every band of up to 600 shingles."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 12, 20, 45, 90, 180, 400, 600):
+        for _ in range(20):
+            d = int(2 * n * (1 - threshold) / (1 + threshold))
+            common = n - (d + 1) // 2
+            pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + d - (n - common)]]))
+            if len(np.intersect1d(a, b)) < threshold * len(np.union1d(a, b)):
+                continue
+            both = set(neardup.bands(len(a), threshold)) & set(neardup.bands(len(b), threshold))
+            shared = [k for k in both if len(np.intersect1d(neardup.signatures(a, threshold, k), neardup.signatures(b, threshold, k)))]
+            assert shared
+            assert all(((neardup.sketch(a, k) ^ neardup.sketch(b, k)) & (2**64 - 1)).bit_count() <= neardup.most_apart(threshold) for k in shared)
+
+
+def test_p4_many_copies_are_sorted_out_by_a_shuffle(spark):
+    texts = [" ".join(f"w{k}" for k in range(a, a + 40)) for a in (0, 0, 0, 1, 1, 500)]
+    items = spark.createDataFrame([("documents", k, t) for k, t in enumerate(texts)], "rec_table string, rec_id long, text string")
+    found = neardup.digests(items, 3, 20)
+    classes = found.groupBy("rec_table", "set1", "set2").agg(F.min("rec_id").alias("rep_id"))
+    copies = found.filter("rec_id in (1, 2, 4)").select("rec_table", "rec_id")
+    few, many = (neardup.representatives_signed(items, classes, copies, 0.7, 3, 20, n) for n in (10, 2))
+    assert {r.rec_id for r in few.collect()} == {0, 3, 5}
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_p4_threshold_must_be_a_share(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(spark.createDataFrame([], "rec_table string, rec_id long, text string"), 0.0)
