@@ -157,8 +157,12 @@ def band_plan(band: int, threshold: float) -> tuple[int, int]:
     every shingle by itself, which misses none.
     """
     low, high = (band_edge(band - 1) if band else 0) + 1, band_edge(band)
-    sums = np.unique(np.linspace(ceil(low * (1 + threshold) - 1e-9), 2 * high, 5).astype(int))
-    pairs = [(d, (int(s) - d) // 2) for s in sums for d in [floor(s * (1 - threshold) / (1 + threshold) + 1e-9)]]
+    sums = np.unique(np.linspace(ceil(low * (1 + threshold) - 1e-9), 2 * high, min(2 * high, 400) if high < 100 else 5).astype(int))
+    hardest: dict[int, int] = {}  # of pairs with as many others, those with the fewest in common
+    for s in sums.tolist():
+        d = floor(s * (1 - threshold) / (1 + threshold) + 1e-9)
+        hardest[d] = min(hardest.get(d, s), (s - d) // 2)
+    pairs = sorted(hardest.items())
     best = (float(high), 0, 1)
     n = (low + high) / 2
     for least in range(1, MOST_SHINGLES + 1):

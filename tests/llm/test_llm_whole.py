@@ -59,7 +59,7 @@ def test_p4_plans_miss_few_pairs(threshold):
         for _ in range(20):
             d = int(2 * n * (1 - threshold) / (1 + threshold))
             common = n - (d + 1) // 2
-            pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + d - (n - common)]]))
             if len(np.intersect1d(a, b)) < threshold * len(np.union1d(a, b)):
                 continue
