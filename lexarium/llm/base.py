@@ -24,7 +24,7 @@ def map_arrow(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
 
     Only the columns of df travel to Python, so callers select what they need before.
     """
-    arrow = _arrow_schema(df, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +35,8 @@ def map_arrow(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow form of a schema in DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -43,10 +44,17 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that what follows doesn't compute it again and survives lost executors."""
+    """df written to the shared checkpoint folder, so that what follows doesn't compute it again and survives lost executors.
+
+    The folder is that of spark.checkpoint.dir. Only a session with a local master, whose executors share the machine,
+    gets one of its own where none is set; elsewhere that is an error.
+    """
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = session.conf.get("spark.checkpoint.dir", None)
+        if not shared and not session.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        session.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _arrow_schema
+from .base import arrow_schema
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern of that byte-level vocabulary.
@@ -135,7 +135,7 @@ def pack_documents(documents: DataFrame, pools: DataFrame, tokenizer: str = TOKE
     """
     pools = F.broadcast(pools.select("filetype", F.col("capacity_tokens").cast("int").alias("capacity_tokens")))
     joined = documents.select("doc_id", "filetype", "text").join(pools, "filetype", "left").select("doc_id", "filetype", "capacity_tokens", "text")
-    arrow = _arrow_schema(documents, ASSIGNED)
+    arrow = arrow_schema(ASSIGNED)
     return joined.mapInArrow(_packer(arrow, tokenizer, block_items, top_up), ASSIGNED)
 
 
