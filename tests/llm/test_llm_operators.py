@@ -50,6 +50,33 @@ def test_p1_shared_template_is_found_in_every_site(spark):
     assert site_lines.repeated_lines(docs(spark, rows)).count() == 100
 
 
+def common_line(outside):
+    """A notice in 12 of the 40 documents of a site and in `outside` of the 100 without a source."""
+    rows = [(k, f"own text {chr(97 + k % 26) * (k // 26 + 1)}" + ("\nRead the notes first" if k < 12 else ""), None, "a.example", "txt") for k in range(40)]
+    return rows + [(100 + k, f"more text {chr(97 + k % 26) * (k // 26 + 1)}" + ("\nRead the notes first" if k < outside else ""), None, None, "txt") for k in range(100)]
+
+
+def test_p1_line_common_outside_is_no_line_of_the_site(spark):
+    assert site_lines.repeated_lines(docs(spark, common_line(0))).count() == 12
+    assert site_lines.repeated_lines(docs(spark, common_line(35))).count() == 0
+    assert site_lines.repeated_lines(docs(spark, common_line(35)), fdr=2.0).count() == 12  # with the test switched off
+    tested = {(r.docs, r.outside_docs, r.recurs) for r in site_lines.tested_lines(docs(spark, common_line(35))).collect()}
+    assert (12, 35, True) in tested
+
+
+def test_p1_one_site_alone(spark):
+    rows = [(k, f"own {'abcdefghijklmnopqrst'[k]}\nThe same" if k < 6 else f"own {'abcdefghijklmnopqrst'[k]}", None, "a.example", "txt") for k in range(20)]
+    assert site_lines.repeated_lines(docs(spark, rows)).count() == 6
+
+
+def test_p1_many_sites_without_broadcast(spark, monkeypatch):
+    few = {r.doc_id: (r.clean_text, r.n_removed) for r in site_lines.remove_repeated_lines(site(spark)).collect()}
+    found = {(r.doc_id, r.line_no) for r in site_lines.repeated_lines(site(spark)).collect()}
+    monkeypatch.setattr(site_lines, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: (r.clean_text, r.n_removed) for r in site_lines.remove_repeated_lines(site(spark)).collect()} == few
+    assert {(r.doc_id, r.line_no) for r in site_lines.repeated_lines(site(spark)).collect()} == found
+
+
 def test_p1_empty(spark):
     assert site_lines.repeated_lines(docs(spark, [])).count() == 0
 
@@ -102,8 +129,29 @@ def test_p2_assigns(spark, model):
     assert language.assign_languages(docs(spark, []), model).count() == 0
 
 
-def test_p2_fit_without_labels(spark):
+def test_p2_fit_without_texts_or_labels(spark):
     assert language.fit(docs(spark, text_rows(None, ""))).table.sum() == 0
+    with pytest.raises(ValueError):
+        language.fit(docs(spark, [(1, paragraph(random.Random(1), "en"), "und", None, None), (2, paragraph(random.Random(2), "de"), None, None, None)]))
+
+
+@pytest.mark.parametrize("n", [1, 5_000, 10**8, 10**11, 10**14])
+def test_p2_sample_share_at_any_size(n):
+    """The expected number of documents under the bound is that of the sample, whatever their number."""
+    share = (language.least_hash(1.2 * 3000 / n) + 2**63) / 2**64
+    assert share * n == pytest.approx(min(n, 3600), rel=1e-3)
+
+
+def test_p2_samples_the_least_hashes(spark):
+    rng = random.Random(4)
+    rows = [(k, paragraph(rng, lang, 2), lang, None, None) for k, lang in enumerate(list(SENTENCES) * 20)]
+    assert (language.fit(docs(spark, rows), 60).table == language.fit(docs(spark, rows[::-1]).repartition(7), 60).table).all()
+
+
+def test_p2_long_words_count_but_encoded_data_does_not():
+    word = "Donaudampfschifffahrtselektrizitätenhauptbetriebswerk"
+    grams, _ = language.trigrams([word])
+    assert (grams != 0).sum() >= len(word) and (language.trigrams(["aGVsbG8gd29ybGQ0NTY3ODkwMTIzNDU2Nzg5MDEyMzQ1Njc4OTA="])[0] != 0).sum() == 0
 
 
 # p3
