@@ -43,13 +43,17 @@ def label_language(label: str | None) -> str | None:
     return NAMES.get(parts[0]) if parts else None
 
 
-#: What is no word of any language: encoded data, long links.
+#: Runs that may be no words of any language but encoded data or long links; they are if a tenth of them is no letters.
 _BLOB = re.compile(r"\S{41,}")
 
 
+def _without_blob(m: re.Match) -> str:
+    return " " if 10 * sum(map(str.isalpha, m.group())) < 9 * len(m.group()) else m.group()
+
+
 def trigrams(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The trigram numbers of all segments one after the other, and where each begins; each segment has at least one."""
-    padded = [f"  {_BLOB.sub(' ', s)}  ".lower() for s in segments]
+    padded = [f"  {_BLOB.sub(_without_blob, s)}  ".lower() for s in segments]
     joined, starts = "".join(padded), np.cumsum([0, *map(len, padded)])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = _CODE[np.minimum(raw, 0x2FFF)]
@@ -174,17 +178,27 @@ def _temperature(scores: np.ndarray, y: np.ndarray, noise: float) -> float:
 def fit(documents: DataFrame, sample_docs: int = 3000) -> Model:
     """Train on at most sample_docs labelled documents, those of the least hashes of their ids.
 
-    Their share of all labelled documents is known before they are read, so that about as many rows as are used travel
-    to the driver, whatever the number of documents.
+    Their share of all labelled documents is known before they are read, so that few more rows than are used leave the
+    scan, whatever the number of documents. Without any text the model is empty; texts without any label that names
+    one of the languages are an error.
     """
-    labelled = documents.filter(F.col("lang").isNotNull())
-    n = labelled.select("lang").count()
-    share = min(1.0, 1.2 * sample_docs / max(1, n))
-    least = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
-    rows = labelled.filter(least & (F.length("text") > 0)).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).limit(2 * sample_docs).collect()
-    rows = sorted(rows, key=lambda r: (r["h"] % 1_000_000, r["h"], r["doc_id"], r["text"]))[:sample_docs]
+    with_text = documents.filter(F.length("text") > 0)
+    labelled = with_text.filter(F.col("lang").isNotNull())
+    n, all_docs = with_text.agg(F.count("lang"), F.count(F.lit(1))).first()
+    if not all_docs:
+        return train([])
+    rows = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).filter(F.col("h") <= least_hash(1.2 * sample_docs / max(1, n)))
+    rows = rows.orderBy("h", "doc_id", "text", "lang").limit(sample_docs).collect()  # at most sample_docs of each task
     samples = [(r["text"], label_language(r["lang"])) for r in rows]
-    return train([(t, lang) for t, lang in samples if lang and not is_stuffed(t)])
+    samples = [(t, lang) for t, lang in samples if lang and not is_stuffed(t)]
+    if not samples:
+        raise ValueError("no document with a label that names one of the languages to train on")
+    return train(samples)
+
+
+def least_hash(share: float) -> int:
+    """The bound that a share of all signed 64-bit hashes doesn't exceed."""
+    return -(1 << 63) + max(0, min((1 << 64) - 1, int(share * 2.0**64)))
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
