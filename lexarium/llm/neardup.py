@@ -21,17 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, cut, map_arrow
+from .base import WORD, arrow_schema, cut
 
 #: Upper bounds of the band sizes grow by this factor.
-BAND = 1.6
+BAND = 2.0
 #: A pair at the threshold is missed by its signatures, or by the bits of its sketches, with at most this probability each; more similar ones with less.
-MISS = 1e-6
+MISS = 1e-5
 MOST_SHINGLES = 8  # that a part has to hold to count
 SKETCH_BITS = 64
 #: Beyond so many copies they are sorted out by a shuffle of signatures instead of a broadcast of ids (some 50 bytes each).
 BROADCAST_ROWS = 500_000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS, BLOCK_RECORDS = 1 << 20, 2_000
 
 _STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -144,6 +144,7 @@ def band_edge(band: int) -> int:
     return floor(BAND**band + 1e-9)
 
 
+@lru_cache(maxsize=65_536)
 def band_of(n: int) -> int:
     band = max(0, ceil(log(n) / log(BAND) - 1e-9))
     return band if n <= band_edge(band) else band + 1
@@ -178,6 +179,11 @@ def band_plan(band: int, threshold: float) -> tuple[int, int]:
     return best[1:]
 
 
+def bands(n: int, threshold: float) -> range:
+    """The bands in which a set of n shingles signs: its own and those of the larger sets that it may match."""
+    return range(band_of(n), band_of(floor(n / threshold + 1e-9)) + 1)
+
+
 def most_apart(threshold: float) -> int:
     """In how many bits the sketches of a pair at the threshold may differ."""
     p, tail = (1 - threshold) / 2, 0.0
@@ -188,45 +194,70 @@ def most_apart(threshold: float) -> int:
     return 0
 
 
-def signatures(own: np.ndarray, threshold: float, band: int) -> np.ndarray:
-    """The signatures of a set in a band."""
-    parts, least = band_plan(band, threshold)
-    salt = np.uint64((band + 1) * int(_SALT) % 2**64)
-    with np.errstate(over="ignore"):
-        mixed = _mix(own + _SALT)
-        if not parts:
-            return _mix(mixed + salt).view(np.int64)
-        # The set is sorted by its hashes, and the parts are ranges of these.
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
-        counts = np.bincount((((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
-        ends = np.cumsum(counts)
-        held = np.flatnonzero(counts >= least)
-        return _mix((sums[ends[held]] - sums[ends[held] - counts[held]]) + (held.astype(np.uint64) + np.uint64(1)) * _STEP + salt).view(np.int64)
-
-
-def bands(n: int, threshold: float) -> range:
-    """The bands in which a set of n shingles signs: its own and those of the larger sets that it may match."""
-    return range(band_of(n), band_of(floor(n / threshold + 1e-9)) + 1)
-
-
-#: Up to this size of a band its sketches are of minima under 64 functions, beyond it of the minima of 64 ranges of one function, none of which is empty then.
+#: Up to this size of a band its sketches are of minima under several functions, beyond it of the minima of several ranges of one function, none of which is empty then.
 MINIMA_EDGE = 250
-_BIN = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(58)
 _FUNCTIONS = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * _SALT) | np.uint64(1)
+BLOCK_SHINGLES = 16_384
+
 
+def _sketches(flat: np.ndarray, of: np.ndarray, starts: np.ndarray, band: int) -> np.ndarray:
+    """For each set 64 bits, one of each of 64 minima: two sets differ in each with half their dissimilarity.
 
-def sketch(own: np.ndarray, band: int) -> int:
-    """64 bits, one of each of 64 minima: two sets differ in each with half their dissimilarity."""
+    flat holds the sets one after the other, each sorted, `of` their numbers, `starts` where each begins.
+    """
+    n = len(starts)
+    bits = np.zeros((n, SKETCH_BITS), np.uint8)
+    if band_edge(band) > MINIMA_EDGE:
+        cell = of * SKETCH_BITS + (flat >> np.uint64(58)).astype(np.int64)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        bits.ravel()[cell[first]] = (flat[first] & np.uint64(1)).astype(np.uint8)
+    else:
+        at = 0
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK_SHINGLES, "right")) - 1) if starts[-1] - starts[at] > BLOCK_SHINGLES else n
+            low, high = starts[at], starts[upto] if upto < n else len(flat)
+            least = np.minimum.reduceat(_mix(flat[low:high])[:, None] * _FUNCTIONS, starts[at:upto] - low, axis=0)
+            bits[at:upto] = (_mix(least) & np.uint64(1)).astype(np.uint8)
+            at = upto
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
+def _signatures(flat: np.ndarray, of: np.ndarray, n: int, threshold: float, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of n sets in a band, and of which set each is."""
+    parts, least = band_plan(band, threshold)
+    salt = np.uint64((band + 1) * int(_SALT) % 2**64)
+    mixed = _mix(flat + _SALT)
+    if not parts:
+        return _mix(mixed + salt), of
+    cell = of * parts + (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # ascending
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    counts = np.diff(begin, append=len(cell))
+    kept = counts >= least
+    sums = np.add.reduceat(mixed, begin)[kept]
+    own, part = np.divmod(cell[begin[kept]], parts)
+    return _mix(sums + (part.astype(np.uint64) + np.uint64(1)) * _STEP + salt), own
+
+
+def sign(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, signature, low) of every signature of the sets in all their bands.
+
+    low is the sketch of the set in that band but for the lowest bit, which tells whether the band is that of its own size.
+    """
+    members: dict[int, list[int]] = {}
+    for k, own in enumerate(sets):
+        for band in bands(len(own), threshold):
+            members.setdefault(band, []).append(k)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     with np.errstate(over="ignore"):
-        if band_edge(band) <= MINIMA_EDGE:
-            least = (_mix(own)[:, None] * _FUNCTIONS).min(axis=0)
-            bits = _mix(least) & np.uint64(1)
-        else:
-            mixed = np.sort(_mix(own * _STEP + _SALT))
-            at = np.searchsorted(mixed, _BIN)
-            least = mixed[np.minimum(at, len(mixed) - 1)]
-            bits = (least & np.uint64(1)) * ((at < len(mixed)) & (least >> np.uint64(58) == _BIN >> np.uint64(58)))
-    return int(np.packbits(bits.astype(np.uint8)).view(np.int64)[0])
+        for band, numbers in members.items():
+            sizes = np.array([len(sets[k]) for k in numbers])
+            flat, of = np.concatenate([sets[k] for k in numbers]), np.repeat(np.arange(len(numbers)), sizes)
+            found, own = _signatures(flat, of, len(numbers), threshold, band)
+            at_home = np.array([band_of(int(n)) == band for n in sizes])
+            low = _sketches(flat, of, np.cumsum(sizes) - sizes, band) & ~np.int64(1) | at_home
+            out.append((np.array(numbers)[own], found.view(np.int64), low[own]))
+    a, b, c = (np.concatenate(x) for x in zip(*out))
+    return a, b, c
 
 
 #: parities: 256 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits.
@@ -243,17 +274,16 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 def _each(items: DataFrame, schema: str, size: int, min_words: int, rows: Callable[[list, list, list[np.ndarray]], list]) -> DataFrame:
     """Apply rows to the tables, ids and shingle sets of each batch of records; short and null texts are left out."""
-    from .base import _arrow_schema
-
-    arrow = _arrow_schema(items, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables, ids, texts = (c.to_pylist() for c in batch.columns)
-            kept = [(t, i, s) for t, i, s in zip(tables, ids, shingle_sets(texts, size, min_words)) if s is not None]
-            if kept:
-                columns = rows(*map(list, zip(*kept)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            for at in range(0, batch.num_rows, BLOCK_RECORDS):
+                tables, ids, texts = (c.to_pylist() for c in batch.slice(at, BLOCK_RECORDS).columns)
+                kept = [(t, i, s) for t, i, s in zip(tables, ids, shingle_sets(texts, size, min_words)) if s is not None]
+                if kept:
+                    columns = rows(*map(list, zip(*kept)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return items.filter(F.length("text") > 0).select("rec_table", "rec_id", "text").mapInArrow(run, schema)
 
@@ -261,27 +291,21 @@ def _each(items: DataFrame, schema: str, size: int, min_words: int, rows: Callab
 def digests(items: DataFrame, size: int, min_words: int) -> DataFrame:
     """The fingerprint (set1, set2), size and parities of each record's shingle set."""
 
-    def row(own: np.ndarray) -> tuple[int, ...]:
-        odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * PARITIES) & 1
-        return *_digest(own), len(own), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-
-    return _each(items, DIGEST, size, min_words, lambda tables, ids, sets: [tables, ids, *zip(*map(row, sets))])
-
+    def rows(tables: list, ids: list, sets: list[np.ndarray]) -> list:
+        cell = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * (64 * PARITIES) + (np.concatenate(sets) >> np.uint64(56)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(sets) * 64 * PARITIES) & 1).astype(np.uint8)
+        parities = np.packbits(odd.reshape(len(sets), -1), axis=1).view(np.int64)
+        return [tables, ids, *zip(*map(_digest, sets)), [len(x) for x in sets], *parities.T]
 
-def _signed(own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of a set in all its bands, and with each the sketch of the band."""
-    found = [(signatures(own, threshold, b), sketch(own, b)) for b in bands(len(own), threshold)]
-    return np.concatenate([x for x, _ in found]), np.repeat([low for _, low in found], [len(x) for x, _ in found])
+    return _each(items, DIGEST, size, min_words, rows)
 
 
 def signed(items: DataFrame, threshold: float, size: int, min_words: int) -> DataFrame:
     """(rec_table, rec_id, signature, low): one row for each signature of each record."""
 
     def rows(tables: list, ids: list, sets: list[np.ndarray]) -> list:
-        own = [_signed(s, threshold) for s in sets]
-        n = [len(x) for x, _ in own]
-        repeated = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(tables), dtype=np.int32), n), pa.array(tables)).cast(pa.string())
-        return [repeated, np.repeat(np.array(ids, np.int64), n), np.concatenate([x for x, _ in own]), np.concatenate([low for _, low in own])]
+        own, found, low = sign(sets, threshold)
+        return [pa.DictionaryArray.from_arrays(own.astype(np.int32), pa.array(tables)).cast(pa.string()), np.array(ids, np.int64)[own], found, low]
 
     return _each(items, SIGNED, size, min_words, rows)
 
@@ -296,8 +320,10 @@ def representatives_signed(items: DataFrame, classes: DataFrame, copies: DataFra
         return signed(items.join(F.broadcast(copies), ["rec_table", "rec_id"], "left_anti"), threshold, size, min_words)
 
     def rows(tables: list, ids: list, sets: list[np.ndarray]) -> list:
-        own = [_signed(s, threshold) for s in sets]
-        return [tables, ids, *zip(*map(_digest, sets)), [[{"signature": x, "low": y} for x, y in zip(a.tolist(), b.tolist())] for a, b in own]]
+        signed: list[list[dict]] = [[] for _ in sets]
+        for k, x, y in zip(*(c.tolist() for c in sign(sets, threshold))):
+            signed[k].append({"signature": x, "low": y})
+        return [tables, ids, *zip(*map(_digest, sets)), signed]
 
     every = _each(items, SIGNED_SETS, size, min_words, rows)
     first = classes.select("rec_table", "set1", "set2", F.col("rep_id").alias("rec_id"))
@@ -308,11 +334,12 @@ def candidates(signed_records: DataFrame, threshold: float) -> DataFrame:
     """(rec_table, rep_a, rep_b), rep_a < rep_b: the pairs that share a signature and whose sketches are near enough.
 
     Texts of one kind share some signatures by chance; the bits that travel with a signature rule most of these out
-    within the join, so that what leaves it grows with the pairs there are.
+    within the join, so that what leaves it grows with the pairs there are. A pair counts in the band of the larger set.
     """
     columns = ("signature", "rec_table", "rec_id", "low")
     a, b = (signed_records.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
-    near = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) <= most_apart(threshold)
+    differ = F.bit_count(F.shiftrightunsigned(F.col("low_a").bitwiseXOR(F.col("low_b")), 1))
+    near = (differ <= most_apart(threshold)) & ((F.col("low_a").bitwiseOR(F.col("low_b")) % 2) != 0)
     same = (F.col("signature_a") == F.col("signature_b")) & (F.col("rec_table_a") == F.col("rec_table_b")) & (F.col("rec_id_a") < F.col("rec_id_b"))
     return a.join(b.hint("merge"), same & near).select(F.col("rec_table_a").alias("rec_table"), F.col("rec_id_a").alias("rep_a"), F.col("rec_id_b").alias("rep_b")).distinct()
 
@@ -362,17 +389,18 @@ def compare(items: DataFrame, pairs: DataFrame, threshold: float, size: int, min
     sets = texts.mapInArrow(sets_of, "rec_table string, rec_id bigint, shingle array<bigint>")
     joined = pairs.join(sets.withColumnsRenamed({"rec_id": "rep_a", "shingle": "shingle_a"}), ["rec_table", "rep_a"]).join(sets.withColumnsRenamed({"rec_id": "rep_b", "shingle": "shingle_b"}), ["rec_table", "rep_b"])
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("rec_table", "rep_a", "rep_b", "similarity")}
-        for rec_table, x, y, s, t in zip(cols["rec_table"], cols["rep_a"], cols["rep_b"], cols["shingle_a"], cols["shingle_b"]):
-            both = len(set(s).intersection(t))
-            union = len(s) + len(t) - both
-            if union and both >= threshold * union - 1e-9:
-                for k, v in zip(out, (rec_table, x, y, both / union)):
-                    out[k].append(v)
-        return out
-
-    return map_arrow(joined.select("rec_table", "rep_a", "rep_b", "shingle_a", "shingle_b"), "rec_table string, rep_a bigint, rep_b bigint, similarity double", work).distinct()
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, ends_x), (y, ends_y) = ((c.flatten().to_numpy(), c.value_lengths().to_numpy().cumsum()) for c in batch.columns[3:])
+            found = np.zeros(batch.num_rows)
+            for k, (a, b) in enumerate(zip(np.split(x, ends_x[:-1]), np.split(y, ends_y[:-1]))):
+                both = np.sort(np.concatenate([a, b]))
+                common = int((both[1:] == both[:-1]).sum())  # each set has a shingle once
+                found[k] = common / max(1, len(a) + len(b) - common)
+            kept = found >= threshold - 1e-12
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(kept)) for c in batch.columns[:3]), pa.array(found[kept])], names=["rec_table", "rep_a", "rep_b", "similarity"])
+
+    return joined.select("rec_table", "rep_a", "rep_b", "shingle_a", "shingle_b").mapInArrow(similar, "rec_table string, rep_a bigint, rep_b bigint, similarity double").distinct()
 
 
 def near_duplicates(items: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -63,10 +63,9 @@ def test_p4_plans_miss_few_pairs(threshold):
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + d - (n - common)]]))
             if len(np.intersect1d(a, b)) < threshold * len(np.union1d(a, b)):
                 continue
-            both = set(neardup.bands(len(a), threshold)) & set(neardup.bands(len(b), threshold))
-            shared = [k for k in both if len(np.intersect1d(neardup.signatures(a, threshold, k), neardup.signatures(b, threshold, k)))]
-            assert shared
-            assert all(((neardup.sketch(a, k) ^ neardup.sketch(b, k)) & (2**64 - 1)).bit_count() <= neardup.most_apart(threshold) for k in shared)
+            (own, found, low) = neardup.sign([a, b], threshold)
+            rows = [{(int(x), int(y)) for k, x, y in zip(own, found, low) if k == side} for side in (0, 1)]
+            assert any(x == y and (p | q) % 2 and (((p ^ q) % 2**64) >> 1).bit_count() <= neardup.most_apart(threshold) for x, p in rows[0] for y, q in rows[1])
 
 
 def test_p4_many_copies_are_sorted_out_by_a_shuffle(spark):
