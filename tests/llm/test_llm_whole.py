@@ -82,3 +82,25 @@ def test_p4_many_copies_are_sorted_out_by_a_shuffle(spark):
 def test_p4_threshold_must_be_a_share(spark):
     with pytest.raises(ValueError):
         neardup.near_duplicates(spark.createDataFrame([], "rec_table string, rec_id long, text string"), 0.0)
+
+
+def test_p9_repeats_across_a_long_page(spark):
+    """A list of distinct words given twice is stuffing, however long it is."""
+    rng = random.Random(9)
+    names = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(11_500)]
+    once, twice = " ".join(names), " ".join(names + names)
+    frame = spark.createDataFrame([(1, twice), (2, once), (3, " ".join(names[:5_000] * 2))], "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(frame).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_p9_words_against_brute_force(seed):
+    rng = random.Random(seed)
+    found = [rng.choice(["a", "bb", "ccc", "dddddd"]) for _ in range(rng.randint(1, 25))]
+    want = [False] * len(found)
+    for i in range(len(found)):
+        for j in range(i + 1, len(found) + 1):
+            run = found[i:j]
+            if len(" ".join(run)) >= 6 and sum(found[k : k + len(run)] == run for k in range(len(found))) > 1:
+                want[i:j] = [True] * (j - i)
+    assert stuffing.repeated_words(found, 6) == want
