@@ -32,6 +32,7 @@ SUSPECT = f"[\u0080-\u009f\ue000-\uf8ff�â{_CAPITALS}Ä√{_BOX}ⁿ≤≥⌠
     (
         "(?<=[\u0080-\u009f\ue000-\uf8ff�])",  # control characters, private use, lost characters
         f"(?<=[ÃÂÅÄ])[{_TAIL}]|(?<=â)[€\u0080-\u0084]|(?<=Ã)(?![{_LETTER}])",  # UTF-8 read as a Latin code page
+        f"(?<=[ÎÏÐÑ])[{_TAIL}][ÎÏÐÑ]|(?<=[ã-é])[{_TAIL}]{{2}}[ã-é][{_TAIL}]{{2}}",  # that of Greek, Cyrillic or East Asian letters
         "(?<=[ÔÃ])Ç|(?<=[┬├√]).|(?<=¬)[®©´ª±∞•†π¢£§∂ø¿¡]|(?<=‚)Ä",  # UTF-8 read as a DOS code page or as that of the Macintosh
         f"(?<=[{_BOX}])(?=[A-Za-z])|(?<=[A-Za-z][─-▟⌐ⁿ≤≥⌠⌡≈∙])|(?<=[░∞╡█▀])",
         f"(?<=[{_LETTER}][{_FOREIGN}])|(?<=[{_FOREIGN}])(?=[{_LETTER}])",  # mixed scripts
@@ -48,7 +49,22 @@ _CP1252 = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b n
 #: Legacy encodings under which text is encoded again; "western" is cp1252 with its holes filled from latin-1, so it covers both.
 LEGACY = ("western", "mac_roman", "cp437", "cp850", "cp1251", "cp1250")
 INTENDED = ("utf-8", "cp1252")
-MAX_LAYERS = 4
+
+#: Three and more letters with marks or signs in a row: no language written in Latin letters has them, so a repair that leaves them isn't one.
+_WRECK = re.compile("[À-ÖØ-öø-ÿŠšŽžŒœŸƒ†‡•ˆ‰¤¦¨¬¯´¶¸¹º¼½¾×÷]{3,}")
+_EAST = "\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+#: A single East Asian character within something else, as three bytes that happen to be UTF-8 give it.
+_LONE = re.compile(f"(?<![{_EAST}])[{_EAST}](?![{_EAST}])")
+#: Words of letters with marks only, as a Cyrillic or Greek code page read as a western one gives them.
+_MARKED = re.compile(r"[¡-ÿ]+(?:[ ,.;:!?()\"–-]+[¡-ÿ]+)*")
+LEAST_MARKED = 8
+#: Code pages of other scripts, the range of their letters, and the commonest letters of their languages.
+SCRIPTS = (
+    ("cp1251", "а-яёА-ЯЁ", "оеаинтсрвлкм"),
+    ("koi8-r", "а-яёА-ЯЁ", "оеаинтсрвлкм"),
+    ("iso8859-5", "а-яёА-ЯЁ", "оеаинтсрвлкм"),
+    ("cp1253", "α-ωάέήίόύώϊϋΑ-ΩΆΈΉΊΌΎΏ", "αοιετσνηυρπκ"),
+)
 
 
 def garbling_cost(text: str) -> int:
@@ -77,11 +93,41 @@ def _step(text: str, intended: str) -> tuple[str, str] | None:
         except UnicodeError:
             continue
         new = (garbling_cost(back), _beyond(back))
+        if intended == "cp1252" and _WRECK.search(back) or intended == "utf-8" and _LONE.search(back) and not _LONE.search(text):
+            continue  # another garbling
         if back != text and (new < limit if intended == "utf-8" else new[0] <= limit[0] and new[0] < cost) and (best is None or new < best[0]):
             best = (new, back, f"{intended}>{legacy}")
     return best and best[1:]
 
 
+def _other_script(text: str) -> tuple[str, list[str]]:
+    """A line with its stretches of marked letters read under the code page of another script, where that gives words of it.
+
+    Such words have letters of the script alone, no capitals after small letters, and mostly its commonest letters.
+    """
+    done: list[str] = []
+
+    def read(m: re.Match) -> str:
+        marked = m.group()
+        if sum(map(str.isalpha, marked)) < LEAST_MARKED or not re.search("[À-ÿ¨¸]{4}", marked):
+            return marked
+        best = (0.5, marked, "")
+        for page, letters, common in SCRIPTS:
+            try:
+                back = _encode(marked, "western").decode(page)
+            except UnicodeError:
+                continue
+            own = re.findall(f"[{letters}]", back)
+            if len(own) < sum(map(str.isalpha, back)) or re.search("(?<=[а-яёά-ώ])[А-ЯЁΑ-Ω]", back):
+                continue
+            best = max(best, (sum(c.lower() in common for c in own) / len(own), back, f"{page}>western"))
+        if best[2]:
+            done.append(best[2])
+        return best[1]
+
+    return _MARKED.sub(read, text), done
+
+
 def _beyond(text: str) -> int:
     return len(text) - len(text.encode("ascii", "ignore"))
 
@@ -89,7 +135,7 @@ def _beyond(text: str) -> int:
 def _layers(text: str, intended: str) -> tuple[str, list[str]]:
     """Repair a stretch layer by layer."""
     steps: list[str] = []
-    while len(steps) < MAX_LAYERS and _SUSPECT.search(text) and (better := _step(text, intended)):
+    while _SUSPECT.search(text) and (better := _step(text, intended)):  # each step lowers the cost or the number of characters beyond ASCII
         text = better[0]
         steps.append(better[1])
     return text, steps
@@ -99,7 +145,7 @@ _TOKENS = re.compile(r"([ \t]+)")
 
 
 def _repair_line(line: str) -> tuple[str, list[str]]:
-    done: list[str] = []
+    line, done = _other_script(line)
     for intended in INTENDED:
         if not _SUSPECT.search(line) or intended == "cp1252" and _UTF8.search(line):
             break
@@ -138,7 +184,7 @@ def find_garbled(items: DataFrame) -> DataFrame:
     A record is garbled if a round trip was accepted in it, or if characters of it are lost (U+FFFD) or are control
     characters of a misread byte. encodings names the accepted round trips; cost_after counts what is left garbled. Null and
     empty texts and sound ones give no rows; repeated rows give repeated rows. Rows without any suspicious character
-    are ruled out by the same pattern before they travel to Python.
+    are ruled out by the same pattern before they travel to Python. encodings is empty where characters are lost.
     """
 
     def work(cols: dict[str, list]) -> dict[str, list]:
@@ -150,7 +196,7 @@ def find_garbled(items: DataFrame) -> DataFrame:
                     out[k].append(v)
         return out
 
-    return map_arrow(items.select("rec_table", "rec_id", "text").filter(F.col("text").rlike(SUSPECT)), REPAIRED, work)
+    return map_arrow(items.select("rec_table", "rec_id", "text").filter((F.octet_length("text") > F.length("text")) & F.col("text").rlike(SUSPECT)), REPAIRED, work)
 
 
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")

@@ -177,6 +177,36 @@ def test_p3_round_trip_single_byte(legacy):
     assert encoding.repair(text.encode("cp1252").decode(legacy))[0] == text
 
 
+@pytest.mark.parametrize("text", ["Привет мир, это длинный текст о погоде", "Καλημέρα κόσμε, αυτό είναι το κείμενο"])
+@pytest.mark.parametrize("page", ["cp1251", "koi8-r", "iso8859-5", "cp1253", "utf-8"])
+def test_p3_other_scripts(text, page):
+    """Restored, from a code page of their script or UTF-8 read as latin-1."""
+    try:
+        garbled = text.encode(page).decode("latin-1")
+    except UnicodeError:
+        return
+    assert encoding.repair(garbled)[0] == text
+
+
+@pytest.mark.parametrize("text", ["こんにちは世界、これは長い文章です", "你好世界这是一段文字"])
+def test_p3_east_asian_utf8(text):
+    assert encoding.repair(text.encode().decode("latin-1"))[0] == text
+
+
+@pytest.mark.parametrize(("text", "page"), [("コンピュータの世界", "shift_jis"), ("Zażółć gęślą jaźń, proszę bardzo", "cp1250"), ("ПРИВЕТ ÀÁÂ", "utf-8")])
+def test_p3_never_another_garbling(text, page):
+    """What can't be restored is left as it is."""
+    garbled = text.encode(page).decode("latin-1")
+    assert encoding.repair(garbled)[0] in (garbled, text)
+
+
+def test_p3_many_layers():
+    garbled = "schöne Grüße"
+    for _ in range(6):
+        garbled = garbled.encode().decode("latin-1")
+    assert encoding.repair(garbled)[0] == "schöne Grüße"
+
+
 @given(st.text(alphabet="abc ABC.,äöüßéèêàçñáíóú’“”„–°\n", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_p3_sound_text_is_left_alone(text):
