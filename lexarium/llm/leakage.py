@@ -56,14 +56,17 @@ class WuManber:
 
     def search(self, text: list[str]) -> dict[int, tuple[int, int]]:
         """Field number -> (first word, length) of its longest common run with the text, if at least `run` long."""
-        run, table, get = self.run, self.table, self.numbers.get
-        ids = [get(w, -1) for w in text]
-        jump, end, n = run - BLOCK + 1, run, len(ids)
+        run, table, numbers = self.run, self.table, self.numbers
+        get, jump, end, n = numbers.get, run - BLOCK + 1, run, len(text)
         best: dict[int, tuple[int, int]] = {}
         reached: dict[int, int] = {}
         while end <= n:
-            a, b = ids[end - 2], ids[end - 1]
-            far = table[(a * _FACTOR + b) % TABLE] if a >= 0 and b >= 0 else jump + (b < 0)
+            b = get(text[end - 1], -1)
+            if b < 0:  # no pattern has the last word of the window
+                end += run
+                continue
+            a = get(text[end - 2], -1)
+            far = table[(a * _FACTOR + b) % TABLE] if a >= 0 else jump
             if far:
                 end += far
                 continue
@@ -77,12 +80,12 @@ class WuManber:
                 if reached.get(begin - at, -1) >= end:
                     continue
                 if window is None:
-                    window = np.array(ids[begin:end], np.int32)
+                    window = np.array([get(w, -1) for w in text[begin:end]], np.int32)
                 if not np.array_equal(self.flat[at : at + run], window):
                     continue
                 k = int(np.searchsorted(self.begin, at, "right")) - 1
                 i, j, stop = end, at + run, int(self.begin[k + 1])
-                while i < n and j < stop and ids[i] == self.flat[j]:
+                while i < n and j < stop and get(text[i], -1) == self.flat[j]:
                     i, j = i + 1, j + 1
                 reached[begin - at] = i
                 if i - begin > best.get(k, (0, 0))[1]:
