@@ -37,18 +37,19 @@ _INNER_HYPHEN = re.compile(r"-(?<=[^\W\d_]-)(?=[^\W\d_])")
 _MIXED = re.compile(r"(?<![^\s\"“„«»”’'(\[,;:.-])(?=[^\s]*[0-9|])([^\W_]*[^\W\d_](?:[^\W_]|\|)*)(?=[\s\"”“«»’'),.;:!?\]-]|$)")
 _HYPHENS = "-‐­¬"
 _CUT = {
-    False: re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)[ \t]*\n[ \t]*(?=[^\W\d_])"),
+    False: re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)[ \t]*[\n\x0c][ \t]*(?=[^\W\d_])"),
     True: re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].) (?=[^\W\d_])"),
 }
-_LAST_WORD = re.compile(r"[^\W\d_]+$")
 #: Words that follow a hyphen left hanging on purpose, as in "pre- and post-".
 _JOINERS = frozenset("and or to und oder bzw bis et ou y e o u en of tot als".split())
 
-_NUMBER = r"(?:Page \d{1,4} of \d{1,4}|Seite \d{1,4}(?: von \d{1,4})?|S\. ?\d{1,4}|p\. ?\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\d{1,4} ?/ ?\d{1,4})"
-_OWN_NUMBER = re.compile(rf"^[ \t]*(?:{_NUMBER}|\d{{1,4}})[ \t]*$", re.IGNORECASE)
+_NUMBER = r"(?:Page \d+ of \d+|Seite \d+(?: von \d+)?|S\. ?\d+|p\. ?\d+|[-–—] ?\d+ ?[-–—]|\[\d+\]|\d+ ?/ ?\d+)"
+_OWN_NUMBER = re.compile(rf"^[ \t]*(?:{_NUMBER}|\d+)[ \t]*$", re.IGNORECASE)
 _EDGE_NUMBER = re.compile(rf"(?:(?<=[^\W\d_.,;:!?»”)])(?=Page|Seite|[-–—\[])|(?<=\s\s)|(?<=\x0c))(?:{_NUMBER})[ \t]*$|^[ \t]*(?:{_NUMBER})(?=\s{{2,}}|\x0c)", re.IGNORECASE)
-_BLOCK_NUMBER = re.compile(r"(?<=\s)(?:Page \d{1,4} of \d{1,4}|S\. \d{1,4}|[-–—] \d{1,4} [-–—]|\[\d{1,4}\]|\d{1,4}/\d{1,4})(?=\s|$)")
+_BLOCK_NUMBER = re.compile(r"(?<=\s)(?:Page \d+ of \d+|S\. \d+|[-–—] \d+ [-–—]|\[\d+\]|\d+/\d+)(?=\s|$)")
 _CODE = r"[A-Z]{2,5} \d{3,5}-\d"
+#: A whole line of a site's name and a code.
+_SITE_CODE = re.compile(rf"^([^\W\d_][\w|]*)(?: ·)? {_CODE}$")
 
 
 #: The end of a line before a head that isn't a mark of a heading.
@@ -79,8 +80,22 @@ def head_pattern(title: str | None, source: str | None, code: str | None = None)
     return re.compile("|".join(f"(?:{f})" for f in forms), re.IGNORECASE) if forms else None
 
 
+_CLASSES = [(x, y) for x, y, _ in sorted(CONFUSIONS, key=lambda c: -len(c[0])) if len(x) > 1]
+_CLASS_OF = str.maketrans({x: y for x, y, _ in CONFUSIONS if len(x) == 1 == len(y)} | {"i": "l", "|": "l", "1": "l"})
+
+
+def read_alike(text: str) -> str:
+    """A text in lower case with what scanners take for each other made equal, so that misread copies of it meet."""
+    text = text.lower()
+    for x, y in _CLASSES:
+        text = text.replace(x, y)
+    return text.translate(_CLASS_OF).translate(_CLASS_OF)
+
+
 def _nearly(line: str, title: str) -> bool:
     """Whether a line is the title with a few misread characters."""
+    if read_alike(line) == read_alike(title):
+        return True
     if abs(len(line) - len(title)) > 3 or len(title) < 8:
         return False
     from difflib import SequenceMatcher
@@ -88,14 +103,18 @@ def _nearly(line: str, title: str) -> bool:
     return SequenceMatcher(None, line.lower(), title.lower(), autojunk=False).ratio() >= 0.88
 
 
-def _repeated_lines(text: str) -> list[tuple[int, int]]:
-    """Spans of the short lines of several words, without end punctuation, that stand in a text more than once."""
+def _repeated_lines(text: str, most: int | None = None) -> list[tuple[int, int]]:
+    """Spans of the short lines of several words, without end punctuation, that stand in a text more than once, misread or not.
+
+    With more than `most` different ones they are entries of lists, not heads.
+    """
     seen: dict[str, list[tuple[int, int]]] = {}
     for m in re.finditer(r"[^\n\x0c]+", text):
         line = m.group().strip()
-        if 8 <= len(line) <= 90 and len(_WORD.findall(line)) >= 2 and not re.search(r"[.,;!?-]$", line):
-            seen.setdefault("".join(_WORD.findall(line.lower())), []).append(m.span())
-    return [span for spans in seen.values() if len(spans) > 1 for span in spans]
+        if 8 <= len(line) <= 90 and not _OWN_NUMBER.match(line) and len(_WORD.findall(line)) >= 2 and not re.search(rf"[{_HYPHENS}.,;:!?]$", line):
+            seen.setdefault(read_alike("".join(_WORD.findall(line))), []).append(m.span())
+    repeated = [spans for spans in seen.values() if len(spans) > 1]
+    return [span for spans in repeated for span in spans] if most is None or len(repeated) <= most else []
 
 
 def page_parts(text: str, title: str | None, source: str | None, block: bool, code: str | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -115,12 +134,20 @@ def page_parts(text: str, title: str | None, source: str | None, block: bool, co
         if heads and (m := re.match(r"\d{1,4} (?=$)", text[: heads[0][0]])):
             numbers.append((0, m.end()))
         return heads, sorted(set(numbers))
-    at, titles = 0, []
+    at, titles, after_number = 0, [], False
+    site = read_alike((source or "").split(".")[-2]) if "." in (source or "") else None
     for k, line in enumerate(re.split(r"(?<=[\n\x0c])", text)):
         bare = line.strip()
         begin = at + line.find(bare) if bare else at
         if bare and _OWN_NUMBER.match(bare):
             numbers.append((begin, begin + len(bare)))
+        elif bare and (m := _SITE_CODE.match(bare)) and site in (None, read_alike(m.group(1))):
+            heads.append((begin, begin + len(bare)))
+        elif bare and title and (own := _EDGE_NUMBER.sub("", bare).strip() if _EDGE_NUMBER.search(bare) else bare if after_number else "") and read_alike(own) == read_alike(title.strip()):
+            # The title in one line with a page number, or below one, is a head.
+            if m := _EDGE_NUMBER.search(line.rstrip("\n\x0c")):
+                numbers.append((at + m.start(), at + m.end()))
+            heads.append((at + line.find(own), at + line.find(own) + len(own)))
         elif bare:
             if m := _EDGE_NUMBER.search(line.rstrip("\n\x0c")):
                 numbers.append((at + m.start(), at + m.end()))
@@ -136,9 +163,12 @@ def page_parts(text: str, title: str | None, source: str | None, block: bool, co
                     heads.append((at + m.start(), at + m.end()))
             if title and bare != title and len(bare) < 90 and not (pattern and pattern.search(line)) and _nearly(bare, title.strip()):
                 titles.append((begin, begin + len(bare), k))
+        after_number = bool(numbers) and numbers[-1][1] == begin + len(bare) if bare else after_number
         at += len(line)
     if not title:
         heads += _repeated_lines(text)
+    elif numbers or heads or cut_words(text, False):  # of other texts, repeated lines may be headings
+        heads += [(a, b) for a, b in _repeated_lines(text, 2) if not any(x < b and a < y for x, y in heads) and read_alike(text[a:b].strip()) != read_alike(title.strip())]
     if len(titles) + len(heads) > 1 and titles:  # the title itself stands once, before the text
         heads += [(a, b) for a, b, k in titles if k or len(titles) > 1]
     return sorted(heads), sorted(numbers)
@@ -149,11 +179,19 @@ def number_lines(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"(?:^|(?<=[\n\x0c]))[^\n\x0c]{1,40}(?=[\n\x0c]|$)", text) if _OWN_NUMBER.match(m.group().strip())]
 
 
+def _word_before(text: str, end: int) -> str:
+    """The letters that end at a place of a text."""
+    begin = end
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    return text[begin:end]
+
+
 def _cuts(text: str, block: bool) -> Iterator[tuple[str, str, int, int]]:
     """The parts of each word cut at the end of a line, and where the cut begins and ends; hyphens left hanging before a joining word are none."""
     for m in _CUT[block].finditer(text):
-        a, b = _LAST_WORD.search(text, max(0, m.start() - 60), m.start()).group(), _WORD.match(text, m.end()).group()
-        if b.lower() not in _JOINERS and (b[0].islower() or a.isupper()):
+        a, b = _word_before(text, m.start()), _WORD.match(text, m.end()).group()
+        if a and b.lower() not in _JOINERS and (b[0].islower() or a.isupper()):
             yield a, b, m.start(), m.end()
 
 
@@ -162,6 +200,17 @@ def cut_words(text: str, block: bool) -> list[tuple[str, str]]:
     return [(a, b) for a, b, _, _ in _cuts(text, block)]
 
 
+def without(text: str, spans: list[tuple[int, int]], block: bool) -> str:
+    """A text without its running heads and page numbers; what goes on behind them stands in the next line, or in a block after one space."""
+    for a, b in sorted(set(spans), reverse=True):
+        head, rest = text[:a].rstrip(" "), text[b:].lstrip(" ")
+        if head[-1:] in ("\n", "\x0c", ""):
+            text = head + (rest[1:] if rest[:1] in ("\n", "\x0c") else rest)
+        else:
+            text = head + (" " if block else "" if rest[:1] in ("\n", "\x0c", "") else "\n") + rest
+    return text
+
+
 def joined(text: str, block: bool, uncut: frozenset[str] | set[str] = frozenset()) -> str:
     """A text with its cut words whole; the compounds in `uncut` keep their hyphen."""
     out, at = [], 0
@@ -177,7 +226,7 @@ def mixed_words(text: str) -> set[str]:
     for m in _MIXED.finditer(text):
         w = m.group(1)
         odd = sum(c.isdigit() or c == "|" for c in w)
-        if LEAST_LETTERS <= len(w) <= 30 and 1 <= odd <= 3 and 3 * odd <= len(w) and not re.search(r"[2347]", w) and not w[0].isdigit():
+        if len(w) >= LEAST_LETTERS and 1 <= odd and 3 * odd <= len(w) and not re.search(r"[2347]", w) and not w[0].isdigit():
             found.add(w.lower())
     return found
 
@@ -187,27 +236,36 @@ def _letters_of(word: str) -> list[tuple[str, float]]:
     options = [("", 0.0)]
     for ch in word:
         reads = [(y, w) for x, y, w in CONFUSIONS if x == ch] if not ch.isalpha() else [(ch, 0.0)]
-        options = [(a + y, c + w) for a, c in options for y, w in reads][:16]
+        options = [(a + y, c + w) for a, c in options for y, w in reads]
     return options
 
 
 def lexicon(items: DataFrame) -> DataFrame:
-    """(word, n): the words, cut ones whole, and hyphenated compounds of all texts in lower case, counted in each batch before they are shuffled."""
+    """(word, n, n_paged): the words, cut ones whole, and hyphenated compounds of all texts in lower case, counted in each batch before they are shuffled.
+
+    n_paged counts those in texts whose lines are, or in blocks were, those of a page.
+    """
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for t, block in zip(cols["text"], cols["block"]):
             low = joined(t, block).lower()
-            counts.update(_LOWER.findall(low))
-            counts.update(f"{_LAST_WORD.search(low, max(0, m.start() - 60), m.start()).group()}-{_WORD.match(low, m.end()).group()}" for m in _INNER_HYPHEN.finditer(low))
-        kept = [(w, n) for w, n in counts.items() if LEAST_LETTERS <= len(w) <= 40]
-        return {"word": [w for w, _ in kept], "n": [n for _, n in kept]}
+            own = counts[block or is_wrapped(t)]
+            own.update(_LOWER.findall(low))
+            own.update(f"{_word_before(low, m.start())}-{_WORD.match(low, m.end()).group()}" for m in _INNER_HYPHEN.finditer(low))
+        kept = [w for w in counts[0].keys() | counts[1].keys() if len(w) >= LEAST_LETTERS]
+        return {"word": kept, "n": [counts[0][w] + counts[1][w] for w in kept], "n_paged": [counts[1][w] for w in kept]}
 
-    return map_arrow(items.filter(F.length("text") > 0).select("text", "block"), "word string, n bigint", work).groupBy("word").agg(F.sum("n").alias("n"))
+    found = map_arrow(items.filter(F.length("text") > 0).select("text", "block"), "word string, n bigint, n_paged bigint", work)
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_paged").alias("n_paged"))
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """(noisy, fix, weight, n_fix): words that a confusion sets apart from one at least LEAST_RATIO times as frequent."""
+    """(noisy, fix, weight, n_fix): words that a confusion sets apart from one at least LEAST_RATIO times as frequent.
+
+    Misreadings come from scanners, so at least half of a noisy word's occurrences have to be in texts with the lines of
+    a page; a name that happens to resemble another word stands in all kinds of texts.
+    """
 
     def keys(side: int) -> DataFrame:
         def work(cols: dict[str, list]) -> dict[str, list]:
@@ -224,7 +282,7 @@ def corrections(words: DataFrame) -> DataFrame:
             return out
 
         own = words.filter(~F.col("word").contains("-"))
-        return map_arrow(own.filter(F.col("n") >= LEAST_COUNT) if side else own, "key bigint, pair int, word string, n bigint", work)
+        return map_arrow((own.filter(F.col("n") >= LEAST_COUNT) if side else own.filter(2 * F.col("n_paged") >= F.col("n"))).select("word", "n"), "key bigint, pair int, word string, n bigint", work)
 
     a, b = keys(0), keys(1).withColumnsRenamed({"word": "fix", "n": "n_fix", "pair": "pair_fix"})
     found = a.join(b, "key").filter((F.col("pair") == F.col("pair_fix")) & (F.col("n_fix") >= F.col("n") * LEAST_RATIO))
@@ -277,22 +335,21 @@ def probes(items: DataFrame, noisy: bytes) -> DataFrame:
         rows: list[tuple] = []
         noisy_words = _Members(packed.value)
         for rec_table, rec_id, text, title, source, code, block in zip(*(cols[c] for c in ("rec_table", "rec_id", "text", "title", "source", "code", "block"))):
-            scanned = block or is_wrapped(text)
-            heads, numbers = page_parts(text, title, source, block, code) if scanned else ([], number_lines(text))
             key = (rec_table, rec_id)
+            paged = block or is_wrapped(text)
+            heads, numbers = page_parts(text, title, source, block, code) if paged else ([], number_lines(text))
             if heads:
                 rows.append((*key, "running_head", None, None, None, None, None))
             if numbers:
                 rows.append((*key, "page_number", None, None, None, None, None))
+            text = without(text, [*heads, *numbers], block)  # they may stand between the parts of a cut word
             for a, b in set(cut_words(text, block)):
                 rows.append((*key, "hyphenation", f"{a}-{b}".lower(), None, None, None, None))
-            if not scanned:
-                continue
             text = joined(text, block)
             for w in mixed_words(text):
-                inside = re.fullmatch(r"[^\W\d_]+(?:[0159|][^\W\d_]+){1,3}", w)
+                inside = paged and re.fullmatch(r"[^\W\d_]+(?:[0159|][^\W\d_]+){1,3}", w)
                 for fix, weight in _letters_of(w):
-                    rows.append((*key, "characters", w, fix, weight, None, inside is not None))
+                    rows.append((*key, "characters", w, fix, weight, None, bool(inside)))
             before = ""
             seen = set()
             for w in _LOWER.findall(text.lower()):
@@ -326,8 +383,7 @@ def find_noise(items: DataFrame, context: bool = True) -> DataFrame:
     """(rec_table, rec_id, kind, noisy, fix): the noise of each record.
 
     items: rec_table, rec_id, text, title, source, code (the number of the file), block, which tells that the lines of the text
-    are joined by spaces. Heads and misread letters of other texts
-    are told only if their lines have a page's width, cut words and page-number lines always. Null and empty texts give no
+    are joined by spaces. Heads of other texts are told only if their lines have a page's width, all else in every text. Null and empty texts give no
     rows, repeated rows count once; a null title or source only takes the heads away that would be told by it. noisy
     and fix are null for heads and page numbers; for a cut word they are the hyphenated and the joined form. context
     counts the neighbours of ambiguous words in a further pass over the texts, to pick among several fixes; without it the
@@ -338,7 +394,9 @@ def find_noise(items: DataFrame, context: bool = True) -> DataFrame:
     found = cut(probes(items, _word_map(fixes, "noisy")))
     none = F.lit(None).cast("string")
     shape = found.filter(F.col("kind").isin("running_head", "page_number")).select("rec_table", "rec_id", "kind", none.alias("noisy"), none.alias("fix"))
-    compounds = words.filter(F.col("word").contains("-") & (F.col("n") >= 3)).select(F.col("word").alias("probe"))
+    # A compound keeps its hyphen if it is written so more often than as one word.
+    hyphened = words.filter(F.col("word").contains("-") & (F.col("n") >= 3)).select(F.col("word").alias("probe"), F.regexp_replace("word", "-", "").alias("word"), F.col("n").alias("n_hyphened"))
+    compounds = hyphened.join(words, "word", "left").filter(F.col("n_hyphened") > F.coalesce("n", F.lit(0))).select("probe")
     hyphens = found.filter("kind = 'hyphenation'").join(compounds, "probe", "left_anti").select("rec_table", "rec_id", "kind", F.col("probe").alias("noisy"), F.regexp_replace("probe", "-", "").alias("fix"))
     known = found.filter("kind = 'characters' and fix is not null").join(words.select(F.col("word").alias("fix"), "n"), "fix", "left")
     mixed = known.filter(F.col("inside") | (F.col("n") >= LEAST_COUNT)).select("rec_table", "rec_id", "kind", F.col("probe").alias("noisy"), "fix", "weight", F.coalesce("n", F.lit(0)).alias("n"), "beside")
@@ -359,9 +417,8 @@ def repaired(text: str, title: str | None, source: str | None, block: bool, code
     """A text without heads and page numbers, its cut words joined but for the compounds in `uncut`, its misread words
     restored, and its lines run on within paragraphs. Where the lines aren't those of a page they stay, but for cut words and page numbers."""
     scanned = block or is_wrapped(text)
-    heads, numbers = page_parts(text, title, source, block, code) if scanned else ([], [(a, b + (text[b : b + 1] == "\n")) for a, b in number_lines(text)])
-    for a, b in sorted({*heads, *numbers}, reverse=True):
-        text = text[:a].rstrip(" ") + ("\n" if not block and text[:a].rstrip(" ")[-1:] not in ("\n", "\x0c", "") else " " if block else "") + text[b:].lstrip(" ")
+    heads, numbers = page_parts(text, title, source, block, code) if scanned else ([], number_lines(text))
+    text = without(text, [*heads, *numbers], block)
     text = re.sub(r"\n[ \t]*\n?\x0c\s*|\x0c\s*", "\n", text)
 
     text = joined(text, block, uncut)

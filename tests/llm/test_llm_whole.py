@@ -104,3 +104,53 @@ def test_p9_words_against_brute_force(seed):
             if len(" ".join(run)) >= 6 and sum(found[k : k + len(run)] == run for k in range(len(found))) > 1:
                 want[i:j] = [True] * (j - i)
     assert stuffing.repeated_words(found, 6) == want
+
+
+def noise_of(spark, rows):
+    items = spark.createDataFrame(rows, "rec_table string, rec_id long, text string, title string, source string, code string, block boolean")
+    return {(r.rec_id, r.kind, r.noisy) for r in scans.find_noise(items).collect()}
+
+
+CLEAN = "the pressure modules follow the archive sensors carefully and return"
+
+
+def test_p6_cut_words_around_heads_and_numbers(spark):
+    rows = [("text_blocks", 1, "the pres- FELURIX · NRV 3550-9 sure modules", "Pump records: late Felurix", "www.felurix.example", "NRV 1-1", True), ("text_blocks", 2, "the archi- S. 50 ves return", None, None, None, True)]
+    rows += [("text_blocks", 3, "die Ein- - 7 - und Ausgänge", None, None, None, True)]
+    assert {(r, k) for r, k, _ in noise_of(spark, rows)} == {(1, "running_head"), (1, "hyphenation"), (2, "page_number"), (2, "hyphenation"), (3, "page_number")}
+
+
+def test_p6_compounds_are_told_by_their_frequency(spark):
+    """Where line ends are lost some cut words look like compounds; they are none while the whole word is more frequent."""
+    rows = [("documents", k, CLEAN, None, None, None, False) for k in range(30)] + [("documents", 100 + k, "the pres-sure fell", None, None, None, False) for k in range(4)]
+    rows += [("documents", 200 + k, "a post-shift check", None, None, None, False) for k in range(9)]
+    rows += [("text_blocks", 1, "the pres- sure fell", None, None, None, True), ("text_blocks", 2, "a post- shift check", None, None, None, True)]
+    assert noise_of(spark, rows) == {(1, "hyphenation", "pres-sure")}
+
+
+def test_p6_names_in_all_kinds_of_texts_are_no_misreadings(spark):
+    rows = [("documents", k, "the walls of Mensen stand bare now and then", None, None, None, False) for k in range(40)]
+    rows += [("documents", 100 + k, "the walls of Merisen stand bare", None, None, None, False) for k in range(3)]
+    rows += [("text_blocks", 1, "the walls of Merisen stand bare", None, None, None, True), ("text_blocks", 2, "the wallc stand bare", None, None, None, True), ("text_blocks", 3, "the walls sfand", None, None, None, True)]
+    assert noise_of(spark, rows) == {(3, "characters", "sfand")}
+
+
+def test_p6_misread_words_outside_of_pages(spark):
+    rows = [("documents", k, CLEAN, None, None, None, False) for k in range(30)] + [("text_blocks", 1, "the prcssure falls", None, None, None, True), ("documents", 99, "A short note on prcssure.", None, None, None, False)]
+    assert noise_of(spark, rows) == {(1, "characters", "prcssure"), (99, "characters", "prcssure")}
+
+
+PAGE = "The archive sensors were kept in the hall and the readers\nwere sent back to the drafts, as the notes on winter say.\n{head}\nThe frames are kept in the same hall, where two people\ninspect them before the limits are reached once more.\n"
+
+
+def test_p6_heads_by_repetition_and_misread():
+    def heads(text, title, source):
+        return [text[a:b] for a, b in scans.page_parts(text, title, source, False)[0]]
+
+    one, two = PAGE.format(head="Quinaster NRV 6397-1"), PAGE.format(head="Quiriaster NRV 6397-1")
+    assert heads(one + two, "Pump records: late Felurix", "wiki.quinaster.example") == ["Quinaster NRV 6397-1", "Quiriaster NRV 6397-1"]
+    assert heads(two, "Pump records: late Felurix", None) == ["Quiriaster NRV 6397-1"]
+    more = "Nobody knew whether the walls of the other building\nwould stand until the spring, so they were propped up\nwith beams that had been lying in the yard for years.\n"
+    assert heads(PAGE.format(head="Late sensor reports") + "S. 4\nLate scnsor reports\n" + more, "Pump records: late Felurix", None) == ["Late sensor reports", "Late scnsor reports"]
+    assert heads(PAGE.format(head="Late sensor reports") + "Other reports\n" + more, "Pump records: late Felurix", None) == []
+    assert heads("S. 4\nPump records: late Felurix\n" + PAGE.format(head="and so on"), "Pump records: late Felurix", None) == ["Pump records: late Felurix"]
