@@ -81,7 +81,8 @@ def head_pattern(title: str | None, source: str | None, code: str | None = None)
 
 
 _CLASSES = [(x, y) for x, y, _ in sorted(CONFUSIONS, key=lambda c: -len(c[0])) if len(x) > 1]
-_CLASS_OF = str.maketrans({x: y for x, y, _ in CONFUSIONS if len(x) == 1 == len(y)} | {"i": "l", "|": "l", "1": "l"})
+_CLASS_OF = {x: y for x, y, _ in CONFUSIONS if len(x) == 1 == len(y)} | {"i": "l", "|": "l", "1": "l"}
+_CLASS_OF = str.maketrans({x: _CLASS_OF.get(y, y) for x, y in _CLASS_OF.items()})
 
 
 def read_alike(text: str) -> str:
@@ -89,13 +90,13 @@ def read_alike(text: str) -> str:
     text = text.lower()
     for x, y in _CLASSES:
         text = text.replace(x, y)
-    return text.translate(_CLASS_OF).translate(_CLASS_OF)
+    return text.translate(_CLASS_OF)
 
 
 def _nearly(line: str, title: str) -> bool:
     """Whether a line is the title with a few misread characters."""
-    if read_alike(line) == read_alike(title):
-        return True
+    if abs(len(line) - len(title)) > 6 or read_alike(line) == read_alike(title):
+        return abs(len(line) - len(title)) <= 6
     if abs(len(line) - len(title)) > 3 or len(title) < 8:
         return False
     from difflib import SequenceMatcher
@@ -117,11 +118,19 @@ def _repeated_lines(text: str, most: int | None = None) -> list[tuple[int, int]]
     return [span for spans in repeated for span in spans] if most is None or len(repeated) <= most else []
 
 
+def _beside_number(line: str, after_number: bool) -> str:
+    """What stands in a line beside a page number, or the line if a page number stands above it."""
+    rest = _EDGE_NUMBER.sub("", line)
+    return rest.strip() if len(rest) < len(line) else line if after_number else ""
+
+
 def page_parts(text: str, title: str | None, source: str | None, block: bool, code: str | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of running heads and of page numbers."""
     heads: list[tuple[int, int]] = []
     numbers: list[tuple[int, int]] = []
-    pattern = head_pattern(title, source, code)
+    low = text.lower()
+    told_by = [(source or "").split(".")[-2] if "." in (source or "") else "", code or "", *((t.split(":")[0] for t in (title.strip(), title.upper().strip())) if title else ())]
+    pattern = head_pattern(title, source, code) if any(x and x.strip().lower() in low for x in told_by) else None
     if block:
         if pattern:
             heads = [m.span() for m in pattern.finditer(text)]
@@ -143,7 +152,7 @@ def page_parts(text: str, title: str | None, source: str | None, block: bool, co
             numbers.append((begin, begin + len(bare)))
         elif bare and (m := _SITE_CODE.match(bare)) and site in (None, read_alike(m.group(1))):
             heads.append((begin, begin + len(bare)))
-        elif bare and title and (own := _EDGE_NUMBER.sub("", bare).strip() if _EDGE_NUMBER.search(bare) else bare if after_number else "") and read_alike(own) == read_alike(title.strip()):
+        elif bare and title and (own := _beside_number(bare, after_number)) and abs(len(own) - len(title)) <= 6 and read_alike(own) == read_alike(title.strip()):
             # The title in one line with a page number, or below one, is a head.
             if m := _EDGE_NUMBER.search(line.rstrip("\n\x0c")):
                 numbers.append((at + m.start(), at + m.end()))
