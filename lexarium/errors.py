@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 class Category(IntEnum):
-    """Kinds of errors; a code is a hundred times the kind, and a number."""
+    """Kinds of errors; a code is a hundred times the kind, and a number. The names and numbers are fixed values."""
 
     CONFIGURATION = 1
     DATA_ACCESS = 2

@@ -119,15 +119,17 @@ def language_vote(text: Column) -> Column:
     return F.when(votes("de") > votes("en"), "de").when(votes("en") > 0, "en")
 
 
-#: What scanned text tends to hold, each match one likely error; fixed patterns.
+_W = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
+#: Patterns of what scanned text tends to hold, each match one likely error.
 ERROR_PATTERNS = (
-    r"(^|[^\p{L}\p{N}_])I[^a-zA-Z \t\n\r\f]",
-    r"[a-z][A-Z]",
-    r"[0-9][a-zA-Z]|[a-zA-Z][0-9]",
+    rf"{_EDGE}I[^a-zA-Z\s\p{{Z}}]",  # I before what is no letter
+    r"[a-z][A-Z]",  # a capital inside a word
+    r"[0-9][a-zA-Z]|[a-zA-Z][0-9]",  # letters beside digits
     r"vv|rn",
     r"l1|11",
-    r"\.{3,}|!{3,}|\?{3,}|-{3,}|,{3,}|;{3,}|:{3,}|\*{3,}",
-    r"[^a-zA-Z0-9 \t\n\r\f.,;:!?-]+",
+    rf"([^\p{{L}}\p{{N}}_\s\p{{Z}}])\1{{2,}}",  # a sign three times and more
+    rf"{_EDGE}{_W}*[^a-zA-Z0-9\s\p{{Z}}.,;:!?-]{_W}*{_EDGE}",  # a word with an unusual character
 )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def number_rows(rows: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
     """rows numbered from 1 in a total order, without bringing them into one partition.
@@ -14,9 +14,7 @@ def number_rows(rows: DataFrame, *order: str, name: str = "row_no") -> DataFrame
     Rows are sorted by range and written to the checkpoint folder, so that the numbers are counted on the very
     partitions they are given in; only one count for each partition is gathered.
     """
-    session = rows.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(rows.sparkSession)
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     within = parted.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = parted.groupBy("_part").count()

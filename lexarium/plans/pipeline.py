@@ -37,7 +37,7 @@ class Pipeline:
     formatter: Formatter = C.simple_context
     generator: Generator = C.extractive_answer
     template: str = C.PROMPT
-    grounding: G.GroundingConfig = field(default_factory=G.GroundingConfig)
+    grounding: G.Grounding = field(default_factory=G.Grounding)
 
     @staticmethod
     def standard(retriever: Retriever) -> Pipeline:
@@ -126,8 +126,10 @@ class PipelineBuilder:
     def with_template(self, template: str) -> PipelineBuilder:
         return self._with(template=template)
 
-    def with_grounding(self, **thresholds: Any) -> PipelineBuilder:
-        return self._with(grounding=replace(self._parts.get("grounding", G.GroundingConfig()), **thresholds))
+    def with_grounding(self, **rules: Any) -> PipelineBuilder:
+        """Rules by name; a bound may be given as a mapping of what differs from its default."""
+        before = self._parts.get("grounding", G.Grounding())
+        return self._with(grounding=replace(before, **{k: replace(getattr(before, k), **v) if isinstance(v, Mapping) else v for k, v in rules.items()}))
 
     def build(self) -> Pipeline:
         if "retriever" not in self._parts:

@@ -122,20 +122,10 @@ def sink_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("section_id", F.regexp_replace("content", S + "{2,}", ",").alias("csv")).distinct()
 
 
-@query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page, block_key) AS content, count(*) AS n_parts FROM (SELECT DISTINCT * FROM text_blocks WHERE text IS NOT NULL AND page IS NOT NULL) GROUP BY doc_id")
-def src_combine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of each parsed document as one text, of the blocks whose page is known; src_combine_all_pages has every block."""
-    rows = table(spark, sf_dir, "text_blocks").filter(F.col("text").isNotNull() & F.col("page").isNotNull()).distinct()
-    ordered = F.array_sort(F.collect_list(F.struct("page", "block_key", "text")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("n_parts"))
-
-
 @query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page NULLS LAST, block_key) AS content, count(*) AS n_parts FROM (SELECT DISTINCT * FROM text_blocks WHERE text IS NOT NULL) GROUP BY doc_id")
-def src_combine_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_combine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text of each parsed document as one text, blocks without a page last."""
-    rows = table(spark, sf_dir, "text_blocks").filter(F.col("text").isNotNull()).distinct()
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").isNull().alias("no_page"), "page", "block_key", "text")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("n_parts"))
+    return readers.combine_parts(table(spark, sf_dir, "text_blocks").filter(F.col("text").isNotNull()).distinct(), "doc_id", "page", "block_key")
 
 
 # filters and projections
@@ -423,11 +413,7 @@ def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # recognised text
 
-_ERRORS = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in T.ERROR_PATTERNS)
-_RATE = f"CASE WHEN len({_words('text')}) = 0 THEN 0.0 ELSE least(1.0, ({_ERRORS}) / len({_words('text')})::DOUBLE) END"
-
-
-@query(f"SELECT DISTINCT block_key, round({_RATE}, 6) AS error_rate, CASE WHEN {_RATE} < 0.05 THEN 'clean' END AS gate FROM (SELECT block_key, coalesce(text, '') AS text FROM text_blocks)")
+@query()
 def ocr_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likely errors per word of each block, and whether it needs cleaning."""
     rows = table(spark, sf_dir, "text_blocks").withColumn("rate", T.error_rate(F.col("text")))
@@ -498,17 +484,8 @@ def ocr_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_text.stale_pages(files, cache, F.current_timestamp()).select("doc_id")
 
 
-@query(f"SELECT doc_id, CASE WHEN {_strip('substring(text, 1, 40)')} = '' THEN text ELSE {_strip('substring(text, 1, 40)')} END AS cleaned FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL)")
-def ocr_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model's reply says after its marker, for replies of 40 characters; ocr_after_marker_whole has the whole texts."""
-    flat = F.regexp_replace("content", S + "+", " ")
-    docs = _docs(spark, sf_dir).filter(F.col("content").isNotNull()).select("doc_id", flat.alias("content"))
-    reply = F.concat(F.lit("Here it is. CORRECTED TEXT:\n"), F.substring("content", 1, 40), F.lit("\n"))
-    return docs.select("doc_id", ocr_text.after_marker(reply, F.col("content")).alias("cleaned"))
-
-
 @query(f"SELECT doc_id, CASE WHEN {_strip('text')} = '' THEN text ELSE {_strip('text')} END AS cleaned FROM documents WHERE text IS NOT NULL")
-def ocr_after_marker_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ocr_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model's reply says after its marker, for replies with the whole of each text, line feeds and later markers kept."""
     docs = _docs(spark, sf_dir).filter(F.col("content").isNotNull())
     reply = F.concat(F.lit("Here it is. CORRECTED TEXT:\n"), "content", F.lit("\n"))

@@ -1,10 +1,14 @@
-"""Readers: files to documents (content STRING, metadata MAP<STRING,STRING>). Each is a function (spark, path, **options) -> DataFrame."""
+"""Readers: files to documents (content STRING, metadata MAP<STRING,STRING>).
+
+Each is a function (spark, path, files=None, **options) -> DataFrame; files are options of the scan, such as a recursive
+look-up or a pattern of names.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -22,9 +26,9 @@ def _about(kind: str, **more: Column) -> Column:
     return F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v.cast("string"))))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str, files: Mapping[str, str] | None = None) -> DataFrame:
     """One document for each file."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), _about("text").alias("metadata"))
+    return spark.read.options(**(files or {})).text(path, wholetext=True).select(F.col("value").alias("content"), _about("text").alias("metadata"))
 
 
 def csv_content(columns: Sequence[str], named: bool) -> Column:
@@ -33,14 +37,26 @@ def csv_content(columns: Sequence[str], named: bool) -> Column:
     return F.concat_ws(" ", *(F.concat(F.lit(f"{c}: "), v) for c, v in zip(columns, values))) if named else F.concat_ws(" ", *values)
 
 
-def read_csv(spark: SparkSession, path: str, content_columns: Sequence[str] | None = None, metadata_columns: Sequence[str] = (), delimiter: str = ",") -> DataFrame:
-    """One document for each row; row_index counts from 0 within a file. Columns that a file lacks are left out."""
-    rows = spark.read.csv(path, header=True, sep=delimiter, multiLine=True)
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows of a scan with _path and _row, their number within their file from 0.
+
+    A file may be cut into blocks read by several tasks: each counts its own rows, and the counts of the blocks before
+    are added, so no file is brought into one task.
+    """
+    rows = rows.withColumns({"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    blocks = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(blocks.select("_path", "_block", "_first", before.alias("_before")), ["_path", "_block"]).withColumn("_row", F.col("_before") + F.col("_at") - F.col("_first"))
+
+
+def read_csv(spark: SparkSession, path: str, content_columns: Sequence[str] | None = None, metadata_columns: Sequence[str] = (), delimiter: str = ",", files: Mapping[str, str] | None = None) -> DataFrame:
+    """One document for each row; row_index counts from 0 within a file. Columns that a file lacks are left out, no files give no rows."""
+    if files and spark.read.format("binaryFile").options(**files).load(path).select("path").isEmpty():
+        return spark.createDataFrame([], DOCUMENT)
+    rows = spark.read.options(**(files or {})).csv(path, header=True, sep=delimiter, multiLine=True)
     columns = [c for c in (content_columns or rows.columns) if c in rows.columns]
-    order = Window.partitionBy("_path").orderBy("_at")
-    numbered = rows.withColumns({"_path": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}).withColumn("_row", F.row_number().over(order) - 1)
     entries = {"source": F.col("_path"), "filetype": F.lit("csv"), "row_index": F.col("_row")} | {c: F.col(c) for c in metadata_columns if c in rows.columns}
-    return numbered.select(csv_content(columns, content_columns is None).alias("content"), F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v.cast("string")))).alias("metadata"))
+    return _numbered(rows).select(csv_content(columns, content_columns is None).alias("content"), F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v.cast("string")))).alias("metadata"))
 
 
 def _local(tag: str) -> str:
@@ -84,13 +100,13 @@ def _by_file(files: DataFrame, parse: Callable[[str], Iterator[tuple[str, dict[s
     return files.mapInPandas(run, DOCUMENT)
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+def _whole(spark: SparkSession, path: str, files: Mapping[str, str] | None) -> DataFrame:
+    return spark.read.options(**(files or {})).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def read_xml(spark: SparkSession, path: str, **options: object) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, files: Mapping[str, str] | None = None, **options: object) -> DataFrame:
     """One document for each file, or each element split_by; see xml_documents."""
-    return _by_file(_whole(spark, path), lambda raw: xml_documents(raw, **options))
+    return _by_file(_whole(spark, path, files), lambda raw: xml_documents(raw, **options))
 
 
 def xml_namespaces(raw: Column) -> Column:
@@ -131,24 +147,32 @@ def json_documents(raw: str, at: str = "", content_key: str | None = None, whole
         yield value if isinstance(value, str) else json.dumps(value, ensure_ascii=False), {"filetype": "json", "index": str(k)}
 
 
-def read_json(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    return _by_file(_whole(spark, path), lambda raw: json_documents(raw, **options))
+def read_json(spark: SparkSession, path: str, files: Mapping[str, str] | None = None, **options: object) -> DataFrame:
+    """The documents of each file, a file being one JSON value; see json_documents."""
+    return _by_file(_whole(spark, path, files), lambda raw: json_documents(raw, **options))
 
 
-def jsonl_documents(raw: str, content_key: str | None = None) -> Iterator[tuple[str, dict[str, str]]]:
-    """One document for each line that is JSON; line counts from 1, blank and broken lines go."""
-    for n, line in enumerate(raw.split("\n"), 1):
-        try:
-            item = json.loads(line) if line.strip() else None
-        except ValueError:
-            continue
-        if item is not None:
-            value = item.get(content_key, item) if content_key and isinstance(item, dict) else item
-            yield value if isinstance(value, str) else json.dumps(value, ensure_ascii=False), {"filetype": "jsonl", "line": str(n)}
+def jsonl_content(line: str | None, content_key: str | None = None) -> str | None:
+    """The document of a line of JSON: the value at content_key, else the whole item; None for blank and broken lines."""
+    try:
+        item = json.loads(line) if line and line.strip() else None
+    except ValueError:
+        return None
+    if item is None:
+        return None
+    value = item.get(content_key, item) if content_key and isinstance(item, dict) else item
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
 
+def read_jsonl(spark: SparkSession, path: str, content_key: str | None = None, files: Mapping[str, str] | None = None) -> DataFrame:
+    """One document for each line that is JSON; line counts from 1, blank and broken lines go. Large files are read by many tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(c, {"source": p, "filetype": "jsonl", "line": str(n + 1)}) for v, p, n in zip(batch["value"], batch["_path"], batch["_row"]) if (c := jsonl_content(v, content_key)) is not None]
+            yield pd.DataFrame(rows, columns=["content", "metadata"])
 
-def read_jsonl(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    return _by_file(_whole(spark, path), lambda raw: jsonl_documents(raw, **options))
+    return _numbered(spark.read.options(**(files or {})).text(path)).select("value", "_path", "_row").mapInPandas(run, DOCUMENT)
 
 
 class _Page(HTMLParser):
@@ -198,8 +222,9 @@ def html_documents(raw: str, mode: str = "text") -> Iterator[tuple[str, dict[str
     yield text, about
 
 
-def read_html(spark: SparkSession, path: str, mode: str = "text") -> DataFrame:
-    return _by_file(_whole(spark, path), lambda raw: html_documents(raw, mode))
+def read_html(spark: SparkSession, path: str, mode: str = "text", files: Mapping[str, str] | None = None) -> DataFrame:
+    """One document for each page; see html_documents."""
+    return _by_file(_whole(spark, path, files), lambda raw: html_documents(raw, mode))
 
 
 def url_domain(url: Column) -> Column:
@@ -208,7 +233,7 @@ def url_domain(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def read_pdf(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, combine: bool = False) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, combine: bool = False, files: Mapping[str, str] | None = None) -> DataFrame:
     """One document for each page, from 1, or each file with combine. Needs pypdf on the workers; a file it can't read gives metadata.error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,14 +254,20 @@ def read_pdf(spark: SparkSession, path: str, first: int | None = None, last: int
                 rows += [(t.strip() or f"[No extractable text on page {n}]", {"source": source, "filetype": "pdf", "page_number": str(n), "total_pages": str(len(texts))}) for n, t in enumerate(texts, 1) if (first or 1) <= n <= (last or len(texts))]
             yield pd.DataFrame(rows, columns=["content", "metadata"])
 
-    pages = spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(run, DOCUMENT)
+    pages = spark.read.format("binaryFile").options(**(files or {})).load(path).select("content", "path").mapInPandas(run, DOCUMENT)
     return combine_pages(pages) if combine else pages
 
 
+def combine_parts(parts: DataFrame, owner: str, page: str, order: str, text: str = "text") -> DataFrame:
+    """(owner, content, n_parts): the parts of each owner as one text, by page and order, with a blank line between; those without a page come last."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(page).isNull().alias("no_page"), F.col(page).alias("page"), F.col(order).alias("order"), F.col(text).alias("text"))))
+    return parts.groupBy(owner).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("n_parts"))
+
+
 def combine_pages(pages: DataFrame) -> DataFrame:
     """One document for each source, its pages in order with a blank line between."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("metadata")["page_number"].cast("int").alias("page"), F.col("content").alias("text"))))
-    joined = pages.groupBy(F.col("metadata")["source"].alias("source")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("content"))
+    rows = pages.select(F.col("metadata")["source"].alias("source"), F.col("metadata")["page_number"].cast("int").alias("page"), "content")
+    joined = combine_parts(rows, "source", "page", "content", "content")
     return joined.select("content", F.create_map(F.lit("source"), F.col("source"), F.lit("filetype"), F.lit("pdf")).alias("metadata"))
 
 
@@ -268,20 +299,34 @@ def reader_for(path: str, default: str | None = None) -> Reader:
     return READERS[name]
 
 
-def read_directory(spark: SparkSession, path: str, extensions: Sequence[str] | None = None, recursive: bool = True, options: dict[str, dict] | None = None) -> DataFrame:
-    """The documents of all files of a directory by their extensions; one scan for each reader, hidden files left out."""
+def _any_case(extension: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
+def _like(pattern: str) -> str:
+    """A path pattern as a regular expression on the end of a path: * stays within a folder, ** doesn't."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "(?:^|/)" + "".join(parts.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", pattern)) + "$"
+
+
+def read_directory(
+    spark: SparkSession, path: str, extensions: Sequence[str] | None = None, recursive: bool = True, options: dict[str, dict] | None = None, glob: str | None = None, exclude: Sequence[str] = ()
+) -> DataFrame:
+    """The documents of all files of a directory by their extensions, whatever their case and depth; one scan for each reader.
+
+    glob and exclude are patterns on the end of a path, such as "notes/**/*.md"; hidden files and folders are left out.
+    """
     wanted: dict[str, list[str]] = {}
     for e in extensions or EXTENSIONS:
         if e.lower().lstrip(".") in EXTENSIONS:
             wanted.setdefault(EXTENSIONS[e.lower().lstrip(".")], []).append(e.lower().lstrip("."))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = None
+    found = spark.createDataFrame([], DOCUMENT)
     for name, ends in wanted.items():
-        depth = ("", "/*", "/*/*", "/*/*/*") if recursive else ("",)
-        globs = [f"{path}{d}/*.{{{','.join(ends)}}}" for d in depth]
-        system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        present = [g for g in globs if system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(g))]
-        for g in present:
-            part = READERS[name](spark, g, **(options or {}).get(name, {}))
-            found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], DOCUMENT)
+        files = {"pathGlobFilter": f"*.{{{','.join(map(_any_case, ends))}}}", "recursiveFileLookup": str(recursive).lower()}
+        found = found.unionByName(READERS[name](spark, path, files=files, **(options or {}).get(name, {})))
+    source = F.col("metadata")["source"]
+    if glob:
+        found = found.filter(source.rlike(_like(glob)))
+    for pattern in exclude:
+        found = found.filter(~source.rlike(_like(pattern)))
+    return found

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import error_rate, strip
 from ..plans.registry import query
+from ..session import shared_folder
 from . import streams
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +41,11 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT hit_id, query_id, doc_id FROM search_hits")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits logged twice, given once in a stream."""
+    """Hits logged twice, given once in a stream; none is late, for the watermark spans all arrival times of the table."""
     work = _work(spark)
-    return streams.run_to_end(streams.first_seen(_source(spark, sf_dir, "search_hits"), ["hit_id"], "arrived_at", "60 days").select("hit_id", "query_id", "doc_id"), f"{work}/out", f"{work}/state")
+    first, last = spark.read.parquet(f"{sf_dir}/search_hits.parquet").agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    span = f"{(last - first).days + 1 if first else 1} days"
+    return streams.run_to_end(streams.first_seen(_source(spark, sf_dir, "search_hits"), ["hit_id"], "arrived_at", span).select("hit_id", "query_id", "doc_id"), f"{work}/out", f"{work}/state")
 
 
 @query("SELECT block_key, regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '^ | $', '', 'g') AS cleaned FROM text_blocks WHERE text IS NOT NULL")

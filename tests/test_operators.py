@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -166,7 +167,7 @@ def test_grounding(spark):
     got = {r.id: r for r in grounding.post_process(rows).collect()}
     assert "din1234" not in got[1].missing and got[2].entity_coverage == 1.0 and got[2].verified
     assert got[3].entity_coverage == 0 and got[3].needs_review and "SYSTEM WARNING" in got[3].final_answer
-    strict = grounding.verify(rows, grounding.GroundingConfig(entity_threshold=0.0)).collect()
+    strict = grounding.verify(rows, grounding.Grounding(entities=grounding.Bound(0.0, 0.3, 0.6))).collect()
     assert all(r.verified for r in strict)
 
 
@@ -262,11 +263,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "e.html").write_text("<html><head><title>T</title><script>x</script></head><body><h1>H</h1><p>Text &amp; more</p><img src='i.png'></body></html>")
     (tmp_path / "f.xml").write_text('<lib><book id="1"><title lang="en">A</title></book><book><title>B</title></book></lib>')
     assert readers.read_text(spark, f"{tmp_path}/a.txt").first()["content"] == "hello\nworld"
-    assert [r.content for r in readers.read_csv(spark, f"{tmp_path}/b.csv").collect()] == ["name: Ann age: 1", "name: Bob age: "]
+    assert {(r.metadata["row_index"], r.content) for r in readers.read_csv(spark, f"{tmp_path}/b.csv").collect()} == {("0", "name: Ann age: 1"), ("1", "name: Bob age: ")}
     items = readers.read_json(spark, f"{tmp_path}/c.json", at="data.items", content_key="text").collect()
     assert [r.content for r in items] == ["x", '{"other": 1}']
     assert readers.read_json(spark, f"{tmp_path}/c.json", at="data.items", content_key="text", whole_if_missing=False).count() == 1
-    assert [(r.content, r.metadata["line"]) for r in readers.read_jsonl(spark, f"{tmp_path}/d.jsonl", content_key="text").collect()] == [("l1", "1"), ("l4", "4")]
+    assert {(r.content, r.metadata["line"]) for r in readers.read_jsonl(spark, f"{tmp_path}/d.jsonl", content_key="text").collect()} == {("l1", "1"), ("l4", "4")}
     page = readers.read_html(spark, f"{tmp_path}/e.html").first()
     assert page.content == "H Text & more" and page.metadata["title"] == "T" and json.loads(page.metadata["image_urls"]) == ["i.png"]
     books = readers.read_xml(spark, f"{tmp_path}/f.xml", split_by="book", metadata_tags=["title"]).collect()
@@ -323,7 +324,7 @@ def test_pipeline_parts(spark):
     with pytest.raises(ValueError):
         P.COMPONENTS.create("formatter", "none")
     hits = spark.createDataFrame([(1, 1, "The valve is open. The door is shut.")], "query_id int, rank int, content string")
-    pipe = P.create_pipeline({"retriever": lambda q: hits, "formatter": "simple", "grounding": {"entity_threshold": 0.1}})
+    pipe = P.create_pipeline({"retriever": lambda q: hits, "formatter": "simple", "grounding": {"entities": {"accept": 0.1}}})
     asked = spark.createDataFrame([(1, "is the valve open"), (2, "   "), (3, None), (4, "unknown")], "query_id int, query string")
     got = {r.query_id: r for r in pipe.answer(asked).collect()}
     assert set(got) == {1, 4} and "valve is open" in got[1].answer and got[4].context == ""
@@ -335,3 +336,54 @@ def test_pipeline_parts(spark):
 def test_settings(tmp_path):
     (tmp_path / "s.json").write_text('{"a": {"b": 2}}')
     assert P.load_settings({"a": {"b": 1, "c": 1}}, str(tmp_path / "s.json"), environ={"LEXARIUM_A__C": "9"}) == {"a": {"b": 2, "c": "9"}}
+
+
+def test_rows_of_split_files_keep_their_numbers(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"text": "{name}{k}"}}\n' for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.read_jsonl(spark, str(tmp_path), content_key="text")
+        assert rows.rdd.getNumPartitions() > 1
+        assert {(r.content, r.metadata["line"]) for r in rows.collect()} == {(f"{name}{k}", str(k + 1)) for name in "ab" for k in range(500)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_directory_at_any_depth_with_patterns(spark, tmp_path):
+    at = tmp_path
+    for depth in range(6):
+        at.mkdir(exist_ok=True)
+        (at / f"deep{depth}.txt").write_text(f"text {depth}")
+        at = at / f"d{depth}"
+    (tmp_path / "Y.TXT").write_text("upper")
+    (tmp_path / "d0" / "rows.csv").write_text("a\n1\n")
+    (tmp_path / ".hidden.txt").write_text("no")
+
+    def found(**options):
+        return {r.content for r in readers.read_directory(spark, str(tmp_path), **options).collect()}
+
+    assert found() == {f"text {k}" for k in range(6)} | {"upper", "a: 1"}
+    assert found(recursive=False) == {"text 0", "upper"}
+    assert found(extensions=["csv"]) == {"a: 1"} and found(extensions=["json"]) == set()
+    assert found(glob="d0/*.txt") == {"text 1"} and found(glob="d0/**/*.txt") == {f"text {k}" for k in range(1, 6)}
+    assert found(extensions=["txt"], exclude=["d0/**"]) == {"text 0", "upper"}
+
+
+UNUSUAL = r"\b\w*[^a-zA-Z0-9\s.,;:!?-]\w*\b"
+
+
+@pytest.mark.parametrize(
+    ("text", "rate"),
+    [("", 0.0), ("all is well here", 0.0), ("I5 wel1 here now", 1.0), ("Ix wel1 here now", 2 / 4), ("a === b /// c d e", 2 / 5), ("größe und maß", 2 / 3), ("can't stop now", 1 / 4), ('he said "yes" twice', 0.0), ("modern corn", 1.0), ("wait... what!!!", 1.0), ("eins zwei dreiVier", 1 / 3)],
+)
+def test_error_rate_by_hand(spark, text, rate):
+    assert one(spark, T.error_rate(F.lit(text))) == pytest.approx(rate)
+
+
+def test_error_rate_against_brute_force(spark, data_dir):
+    patterns = [r"\bI[^a-zA-Z\s]", "[a-z][A-Z]", "[0-9][a-zA-Z]|[a-zA-Z][0-9]", "vv|rn", "l1|11", r"([^\w\s])\1{2,}", UNUSUAL]
+    rows = spark.read.parquet(f"{data_dir}/text_blocks.parquet").filter("text is not null").select("text", T.error_rate(F.col("text")).alias("rate")).distinct().collect()
+    for r in rows:
+        n = len(re.findall(r"\b\w+\b", r.text.lower()))
+        assert r.rate == pytest.approx(min(1.0, sum(len(re.findall(p, r.text)) for p in patterns) / n) if n else 0.0), r.text

@@ -21,7 +21,7 @@ def levenshtein(a, b):
 def test_edits_of_every_case(spark, tmp_path):
     rows = [(1, "grün Tür", "grun Tur"), (2, "été à Noël", "ete a Noel, señor"), (3, "plain", "plane"), (4, None, "x"), (5, "é", None), (6, "", "ß"), (7, "😀 naïve", "naive")]
     spark.createDataFrame(rows, "case_id long, query string, expected_answer string").write.parquet(f"{tmp_path}/eval_cases.parquet")
-    got = {r.case_id: (r.edits, r.cer) for r in QUERIES["eval_edits_all"](spark, str(tmp_path)).collect()}
+    got = {r.case_id: (r.edits, r.cer) for r in QUERIES["eval_edits"](spark, str(tmp_path)).collect()}
     want = {}
     for k, a, b in rows:
         edits = None if a is None or b is None else levenshtein(a, b)
@@ -33,7 +33,7 @@ def test_whole_text_after_the_marker(spark, tmp_path):
     long = "  first line\n\nsecond CORRECTED TEXT:\nthird\t" + "and so on " * 200
     rows = [(1, long), (2, None), (3, " \n "), (4, "CORRECTED TEXT: x"), (5, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.cleaned for r in QUERIES["ocr_after_marker_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.cleaned for r in QUERIES["ocr_after_marker"](spark, str(tmp_path)).collect()}
     assert got == {1: long.strip(), 3: " \n ", 4: "CORRECTED TEXT: x", 5: ""}
 
 
@@ -44,7 +44,7 @@ def test_blocks_without_a_page_come_last(spark, tmp_path):
     def run(name):
         return {r.doc_id: r.content for r in QUERIES[name](spark, str(tmp_path)).collect()}
 
-    assert run("src_combine_all_pages") == {1: "one here.\n\ntwo here.\n\nearly\n\nlate", 2: "all there is."}
+    assert run("src_combine_pages") == {1: "one here.\n\ntwo here.\n\nearly\n\nlate", 2: "all there is."}
     assert run("ocr_markdown") == {1: "one here.\n\n## Page 2\n\ntwo here.\n\n## Page unknown\n\nearly\n\nlate", 2: "## Page unknown\n\nall there is."}
     assert {k: list(json.loads(v)["pages"].items()) for k, v in run("ocr_json").items()} == {
         1: [("1", {"text": "one here."}), ("2", {"text": "two here."}), ("unknown", {"text": "early\n\nlate"})],
