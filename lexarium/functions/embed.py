@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -52,13 +53,12 @@ def model_embedding(load: Callable[[], Callable[[list[str]], np.ndarray]], batch
     return embed
 
 
-def embedding_by_type(content_type: Column, text: Column, embedders: Mapping[str, Callable[[Column], Column]], dim: int = 512) -> Column:
-    """The embedding of each content type's own embedder, that of text for the others, cut or filled to dim values.
+def embed_by_type(rows: DataFrame, embedders: Mapping[str, Callable[[Column], Column]], content_type: str = "content_type", text: str = "content", dim: int = 512) -> DataFrame:
+    """rows with vector: the embedding of each content type's own embedder, that of text for all others, cut or filled to dim values.
 
-    A Python embedder is evaluated for every row; where it is costly, split the rows by type and union them instead.
+    The rows are split by type and united, so that each goes through one embedder only.
     """
-    out = fit_dimension(embedders.get("text", feature_hash_embedding)(text), dim)
-    for kind, embed in embedders.items():
-        if kind != "text":
-            out = F.when(content_type == kind, fit_dimension(embed(text), dim)).otherwise(out)
-    return out
+    kind = F.coalesce(F.col(content_type), F.lit("text"))
+    own = [k for k in embedders if k != "text"]
+    parts = [(~kind.isin(own) if own else F.lit(True), embedders.get("text", feature_hash_embedding)), *((kind == k, embedders[k]) for k in own)]
+    return reduce(DataFrame.unionByName, (rows.filter(which).withColumn("vector", fit_dimension(embed(F.col(text)), dim)) for which, embed in parts))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import html
 import textwrap
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import jaccard, strip, tokens
+from ..functions.text import escape_html, jaccard, strip, tokens
+from ..functions.vectors import cosine, feature_hash_embedding
+from .filters import too_short
 
 ALIGNED = "pair_id bigint, pair_idx int, source_idx int, target_idx int, similarity double, method string"
 GAP, MATCH_LEAST = -0.5, 0.7
@@ -161,19 +164,123 @@ def diff_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("pair_id").pivot("result_type", list(RESULTS)).agg(F.count(F.lit(1))).na.fill(0, list(RESULTS))
 
 
-#: How a line of a report reads in each format: before, between and after its parts.
-FORMATS = {"markdown": ("- ", " ", ""), "html": ('<li class="', '">', "</li>"), "text": ("", ": ", "")}
-
-
-def diff_report(compared: DataFrame, show_similar: bool = False, style: str = "markdown") -> DataFrame:
-    """(pair_id, report): one line for each result by position, as Markdown, HTML or text."""
-    if style not in FORMATS:
+def with_cosine(pairs: DataFrame, embed: Callable[[Column], Column] = feature_hash_embedding, source: str = "source_text", target: str = "target_text") -> DataFrame:
+    """pairs with similarity: the cosine of the embeddings of both texts, 0 where one has none."""
+    a, b = embed(F.col(source)), embed(F.col(target))
+    return pairs.withColumns({"_a": a, "_b": b}).withColumn("similarity", F.coalesce(cosine(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
+
+
+def analysis_request(source: Column, target: Column) -> Column:
+    """What a model is asked about two versions of a section."""
+    ask = f"Compare the two versions of a section and reply with JSON: comparison_category (one of {', '.join(CATEGORIES[:-1])}), explanation, confidence from 0 to 1.\n\nVersion 1:\n"
+    return F.concat(F.lit(ask), F.coalesce(source, F.lit("")), F.lit("\n\nVersion 2:\n"), F.coalesce(target, F.lit("")))
+
+
+def with_analysis(compared: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """compared (pair_id, source_idx, target_idx, source_text, target_text, result_type) with analysis, STRUCT<category, explanation, confidence>.
+
+    Modified and different sections with enough text on both sides are sent to the model, (request_id, prompt) to
+    (request_id, reply), as one table; all others have a null analysis, a request without a reply is an LLM_ERROR.
+    """
+    key = F.concat_ws("/", "pair_id", "source_idx", "target_idx")
+    asked = F.col("result_type").isin("MODIFIED", "DIFFERENT") & ~too_short(F.col("source_text"), F.col("target_text"))
+    rows = compared.withColumn("request_id", F.when(asked, key))
+    requests = rows.filter("request_id is not null").select("request_id", analysis_request(F.col("source_text"), F.col("target_text")).alias("prompt"))
+    replies = model(requests).select("request_id", "reply").dropDuplicates(["request_id"])
+    joined = rows.join(replies, "request_id", "left")
+    return joined.withColumn("analysis", F.when(F.col("request_id").isNotNull(), parse_category(F.col("reply")))).drop("request_id", "reply")
+
+
+_HEAD = {
+    "markdown": ("## Summary\n\n", "- {label}: {n}", "\n\n## Details\n\n"),
+    "text": ("SUMMARY\n=======\n\n", "{label}: {n}", "\n\nDETAILS\n=======\n\n"),
+    "html": ("<div class='summary'>\n<h2>Summary</h2>\n<ul>\n", "<li>{label}: {n}</li>", "\n</ul>\n</div>\n<h2>Details</h2>\n"),
+}
+#: What the counts of a report are called.
+_LABELS = {"SIMILAR": "Similar sections", "MODIFIED": "Modified sections", "DIFFERENT": "Different sections", "NEW": "New", "DELETED": "Deleted"}
+
+
+def _lines(*parts: Column | str | tuple) -> Column:
+    """Lines below each other; a (condition, lines) pair only where the condition holds."""
+    out = [F.when(p[0], _lines(*p[1:])) if isinstance(p, tuple) else F.lit(p) if isinstance(p, str) else p for p in parts]
+    return F.concat_ws("\n", *out)
+
+
+def _two(x: Column) -> Column:
+    return F.format_string("%.2f", F.bround(x, 2))
+
+
+def _section(style: str, detailed: bool, analysed: bool) -> Column:
+    """One result (no, result_type, similarity, source_text, target_text, analysis) as it reads in a report."""
+    kind, no, near = F.col("result_type"), F.col("no").cast("string"), F.coalesce("similarity", F.lit(0.0))
+    src, tgt = (F.coalesce(c, F.lit("")) for c in ("source_text", "target_text"))
+    one, two = F.when(kind == "NEW", tgt).otherwise(src), kind.isin("MODIFIED", "DIFFERENT")
+    name = F.concat(F.lit("Section "), no, F.lit(": "), kind)
+    found = F.col("analysis") if analysed else F.lit(None).cast("struct<category:string,explanation:string,confidence:double>")
+    category, why, sure = found["category"], found["explanation"], found["confidence"]
+    if style == "markdown":
+        def fenced(x: Column) -> Column:
+            return _lines("```", x, "```")
+
+        explained = F.array_join(F.transform(F.split(why, "\n"), lambda x: F.concat(F.lit("  _Explanation: "), x, F.lit("_"))), "\n")
+        return _lines(
+            F.concat(F.lit("### "), name), "",
+            (near > 0, F.concat(F.lit("*Similarity: "), _two(near), F.lit("*")), ""),
+            (category.isNotNull(), F.concat(F.lit("**LLM Analysis:** "), category), (F.coalesce(why, F.lit("")) != "", explained), (sure.isNotNull(), F.concat(F.lit("  _Confidence: "), _two(sure), F.lit("_"))), ""),
+            F.concat(F.lit("**["), kind, F.lit("]**")), "",
+            (~two, fenced(one)),
+            (two, "Source:", fenced(src), "Target:", fenced(tgt), *(["Diff:", "```diff", unified_diff(src, tgt), "```"] if detailed else [])),
+            "", "---", "",
+        )
+    if style == "text":
+        return _lines(
+            name, F.repeat(F.lit("-"), F.length(name)), "",
+            (near > 0, F.concat(F.lit("Similarity: "), _two(near)), ""),
+            (category.isNotNull(), F.concat(F.lit("LLM Analysis: "), category), (F.coalesce(why, F.lit("")) != "", F.concat(F.lit("Explanation: "), why)), (sure.isNotNull(), F.concat(F.lit("Confidence: "), _two(sure))), ""),
+            F.concat(F.lit("["), kind, F.lit("]")), "",
+            (~two, wrapped(one)),
+            (two, "Source:", wrapped(src), "", "Target:", wrapped(tgt), *(["", "Diff:", unified_diff(src, tgt)] if detailed else [])),
+            "", "=" * 80, "",
+        )
+    def boxed(x: Column) -> Column:
+        return _lines("<div class='content'>", escape_html(x), "</div>")
+
+    def note(label: str, x: Column) -> Column:
+        return F.concat(F.lit(f"<div class='similarity'>{label}: "), x, F.lit("</div>"))
+
+    return _lines(
+        F.concat(F.lit("<div class='section "), F.lower(kind), F.lit("'>")), F.concat(F.lit("<div class='header'>"), name, F.lit("</div>")),
+        (near > 0, note("Similarity", _two(near))),
+        (category.isNotNull(), note("LLM Analysis", category), (F.coalesce(why, F.lit("")) != "", note("Explanation", escape_html(why))), (sure.isNotNull(), note("Confidence", _two(sure)))),
+        (~two, boxed(one)),
+        (two, "<div class='source'>", "<strong>Source:</strong>", boxed(src), "</div>", "<div class='target'>", "<strong>Target:</strong>", boxed(tgt), "</div>", *(["<div class='diff'>", "<strong>Diff:</strong>", inline_diff(src, tgt), "</div>"] if detailed else [])),
+        "</div>",
+    )
+
+
+def diff_report(compared: DataFrame, show_similar: bool = True, style: str = "markdown", title: str | None = None, detailed: bool = False) -> DataFrame:
+    """(pair_id, report): counts of all results and every section with its texts and score, by position, as Markdown, HTML or text.
+
+    compared: pair_id, source_idx, target_idx, result_type, similarity, source_text, target_text and, optionally, analysis.
+    Similar sections may be left out of the details; the numbers of the others stay. detailed adds a diff of changed
+    texts. Null texts are empty.
+    """
+    if style not in _HEAD:
         raise ValueError(f"unknown format {style}")
-    before, between, after = FORMATS[style]
-    rows = compared if show_similar else compared.filter("result_type <> 'SIMILAR'")
-    line = F.concat(F.lit(before), F.col("result_type"), F.lit(between), F.coalesce(F.col("source_idx").cast("string"), F.lit("-")), F.lit(" -> "), F.coalesce(F.col("target_idx").cast("string"), F.lit("-")), F.lit(after))
-    ordered = F.array_sort(F.collect_list(F.struct("source_idx", "target_idx", line.alias("text"))))
-    return rows.groupBy("pair_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("report"))
+    before, entry, between = _HEAD[style]
+    at = F.coalesce("source_idx", "target_idx")
+    rows = compared.withColumn("no", F.row_number().over(Window.partitionBy("pair_id").orderBy(at, F.col("source_idx").isNull(), "target_idx")))
+    text = F.when((F.col("result_type") != "SIMILAR") | F.lit(show_similar), _section(style, detailed, "analysis" in compared.columns))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("no", F.col("text").alias("text")))), lambda x: x["text"])
+    joined = rows.withColumn("text", text).groupBy("pair_id").agg(F.array_join(F.filter(ordered, lambda x: x.isNotNull()), "\n").alias("details"), *(F.count_if(F.col("result_type") == k).alias(k) for k in RESULTS))
+    left, right = entry.split("{n}")
+    counts = F.concat_ws("\n", *(F.concat(F.lit(left.format(label=_LABELS[k])), F.col(k).cast("string"), F.lit(right)) for k in RESULTS))
+    if style == "html":
+        name = html.escape(title or "Document Comparison")
+        start, end = f"<!DOCTYPE html>\n<html>\n<head>\n<meta charset='utf-8'>\n<title>{name}</title>\n</head>\n<body>\n<h1>{name}</h1>\n", "\n</body>\n</html>"
+    else:
+        start, end = "" if not title else f"# {title}\n\n" if style == "markdown" else f"{title.upper()}\n{'=' * len(title)}\n\n", ""
+    return joined.select("pair_id", F.concat(F.lit(start + before), counts, F.lit(between), F.col("details"), F.lit(end)).alias("report"))
 
 
 CATEGORIES = ("SEMANTIC_REWRITE", "MEANING_CHANGE", "STRUCTURAL_CHANGE", "EXPANSION", "REDUCTION", "NO_MEANINGFUL_CONTENT", "UNCERTAIN", "LLM_ERROR")

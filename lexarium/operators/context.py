@@ -30,7 +30,18 @@ def simple_context(hits: DataFrame, max_length: int | None = None, separator: st
     return joined if max_length is None else joined.withColumn("context", truncate(F.col("context"), max_length, 0.9, "\n[Context truncated due to length]"))
 
 
-def markdown_context(hits: DataFrame, metadata: Mapping[str, str] | None = None) -> DataFrame:
+def truncate_markdown(text: Column, limit: int) -> Column:
+    """A Markdown text cut at limit characters: before its last header if that lies in the last fifth, else behind its last full stop if that lies in the last tenth."""
+    head = F.substring(text, 1, limit)
+    # As in a search from the end: counted from 0, and -1 where there is none.
+    header = F.greatest(*(F.when(F.instr(head, m) > 0, F.length(head) - F.instr(F.reverse(head), m[::-1]) - len(m) + 1).otherwise(-1) for m in ("\n## ", "\n### ")))
+    stop = F.length(head) - F.instr(F.reverse(head), ".")
+    at_stop = F.when((F.instr(head, ".") > 0) & (stop > 0.9 * limit), F.substring(head, F.lit(1), stop + 1)).otherwise(head)
+    cut = F.when(header > 0.8 * limit, F.substring(head, F.lit(1), header)).otherwise(at_stop)
+    return F.when(F.length(text) > limit, F.concat(cut, F.lit("\n\n*[Context truncated due to length]*"))).otherwise(text)
+
+
+def markdown_context(hits: DataFrame, metadata: Mapping[str, str] | None = None, max_length: int | None = None) -> DataFrame:
     """(query_id, context): each hit under a Markdown header, with the named columns as a list of metadata."""
     kept = hits.filter(F.coalesce(F.col("content"), F.lit("")) != "")
     block = F.concat(F.lit("## Document "), F.col("rank").cast("string"), F.lit("\n"))
@@ -38,7 +49,8 @@ def markdown_context(hits: DataFrame, metadata: Mapping[str, str] | None = None)
         items = [F.when(F.coalesce(strip(F.col(c)), F.lit("")) != "", F.concat(F.lit(f"- **{label}**: "), F.col(c), F.lit("\n"))).otherwise("") for label, c in metadata.items()]
         joined = F.concat(*items)
         block = F.concat(block, F.when(joined != "", F.concat(F.lit("### Metadata\n"), joined, F.lit("\n### Content\n"))).otherwise(""))
-    return kept.groupBy("query_id").agg(_ordered(F.concat(block, F.col("content"), F.lit("\n\n")), "").alias("context"))
+    whole = kept.groupBy("query_id").agg(_ordered(F.concat(block, F.col("content"), F.lit("\n\n")), "").alias("context"))
+    return whole if max_length is None else whole.withColumn("context", truncate_markdown(F.col("context"), max_length))
 
 
 def fill_template(template: str | Column, **values: Column) -> Column:
@@ -67,6 +79,11 @@ def extractive_answer(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("answer", F.coalesce(F.array_min(scored)["text"], F.lit("")))
 
 
+def reset_history(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """turns without those of the given conversations (conv_id)."""
+    return turns.join(conversations.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
 def recent_turns(turns: DataFrame, history_size: int = 3) -> DataFrame:
     """The last 2 * history_size messages (conv_id, turn, role, text) of each conversation."""
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))

@@ -76,6 +76,11 @@ def ratio_word_error(truth: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(truth, text)])
 
 
+def page_means(pages: DataFrame, *measures: str) -> DataFrame:
+    """(doc_id, n_pages, and each measure's mean): the pages (doc_id, page, measures) of a document taken together; pages without a value don't count for its mean."""
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), *(F.avg(m).alias(m) for m in measures))
+
+
 def compare_methods(scores: DataFrame) -> DataFrame:
     """scores (method, error, accuracy) as means with the improvement on the baseline method in percent; -1 for a baseline error of 0, 0 for a baseline accuracy of 0."""
     means = scores.groupBy("method").agg(F.avg("error").alias("error"), F.avg("accuracy").alias("accuracy"))

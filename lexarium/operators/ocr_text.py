@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import heading_level, is_heading, is_list_item, language_vote, paragraphs, strip
+from ..errors import Category, error_column
+from ..functions.text import error_rate, heading_level, is_heading, is_list_item, language_vote, paragraphs, strip
+from ..session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,62 @@ def after_marker(reply: Column, original: Column, marker: str = "CORRECTED TEXT:
     return F.coalesce(F.when(strip(said) != "", strip(said)), original)
 
 
+#: (page_key, prompt, model) -> (page_key, reply); a page that failed has a null reply.
+Cleaner = Callable[[DataFrame], DataFrame]
+
+
+def clean_pages(pages: DataFrame, cleaner: Cleaner, models: Mapping[str, str] | None = None, config: CleanerConfig = CleanerConfig(), retries: int = 2) -> DataFrame:
+    """pages (page_key, text, confidence) with cleaned, status and error.
+
+    Pages read with enough confidence, or with few likely errors, keep their text (status "kept"). The others are sent
+    to the cleaner, those without a reply again up to `retries` times, each round written before the next; a page
+    without any reply keeps its text, with status "failed" and an error. Nulls are kept.
+    """
+    shared_folder(pages.sparkSession)
+    rate = error_rate(F.col("text"))
+    sure = (F.coalesce(F.col("confidence"), F.lit(0.0)) >= config.confidence_threshold) | (rate < config.least_error_rate) | (strip(F.coalesce("text", F.lit(""))) == "")
+    routed = route_models(pages.select("page_key", "text", sure.alias("sure")), models or {}, config.default_model)
+    waiting = routed.filter(~F.col("sure")).select("page_key", "text", "model", cleaning_prompt(F.col("text"), F.col("language"), F.lit(None).cast("string"), config).alias("prompt"))
+    rounds = []
+    for _ in range(retries + 1):
+        replies = cleaner(waiting.select("page_key", "prompt", "model")).filter(F.col("reply").isNotNull()).dropDuplicates(["page_key"]).checkpoint()
+        rounds.append(replies.select("page_key", "reply"))
+        waiting = waiting.join(replies.select("page_key"), "page_key", "left_anti")
+        if waiting.isEmpty():
+            break
+    replies = rounds[0]
+    for more in rounds[1:]:
+        replies = replies.unionByName(more)
+    done = pages.join(routed.select("page_key", "sure").dropDuplicates(["page_key"]), "page_key").join(replies, "page_key", "left")
+    failed = ~F.col("sure") & F.col("reply").isNull()
+    cleaned = F.when(F.col("reply").isNotNull(), after_marker(F.col("reply"), F.col("text"))).otherwise(F.col("text"))
+    status = F.when(F.col("sure"), "kept").when(failed, "failed").otherwise("cleaned")
+    return done.withColumn("cleaned", cleaned).withColumn("status", status).withColumn("error", error_column(failed, Category.EXTERNAL_SERVICE, 1, "no reply")).drop("sure", "reply")
+
+
+def process_documents(pages: DataFrame, recognise: Callable[[DataFrame], DataFrame], cleaner: Cleaner | None = None, style: str = "markdown", **options: object) -> DataFrame:
+    """(doc_id, content, n_failed): pages (doc_id, page, image) recognised, cleaned and joined into one document each.
+
+    recognise gives (doc_id, page, text, confidence); pages it can't read have a null text and count as failed, the
+    others of their document go on.
+    """
+    if style not in ("markdown", "json"):
+        raise ValueError(f"unknown format {style}")
+    read = recognise(pages).withColumn("page_key", page_key("doc_id", "page"))
+    failed = F.col("text").isNull()
+    if cleaner:
+        read = clean_pages(read, cleaner, **options).drop("text").withColumnRenamed("cleaned", "text")
+        failed = failed | (F.col("status") == "failed")
+    joined = (markdown_document if style == "markdown" else json_document)(read.filter(F.col("text").isNotNull()).select("doc_id", "page", "text"))
+    counts = read.groupBy("doc_id").agg(F.count_if(failed).alias("n_failed"))
+    return counts.join(joined, "doc_id", "left").select("doc_id", F.coalesce("content", F.lit("")).alias("content"), "n_failed")
+
+
+def save_documents(documents: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write documents (doc_id, content) as Parquet; without overwrite they are added to what is there."""
+    documents.select("doc_id", "content").write.mode("overwrite" if overwrite else "append").parquet(path)
+
+
 def markdown_paragraph(text: Column) -> Column:
     """A paragraph as Markdown: list items as they are, headings with their level, runs of spaces as one."""
     flat = F.regexp_replace(text, "[ \t]+", " ")

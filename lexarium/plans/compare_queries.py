@@ -104,7 +104,16 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differences of each pair as Markdown."""
-    return compare.diff_report(_by_index(spark, sf_dir))
+    return compare.diff_report(_by_index(spark, sf_dir).withColumnsRenamed({"a": "source_text", "b": "target_text"}))
+
+
+@query()
+def compare_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by the cosine of section embeddings, and the analysis of changed sections by a stand-in for a model."""
+    rows = compare.with_cosine(_by_index(spark, sf_dir).select("pair_id", "source_idx", "target_idx", F.col("a").alias("source_text"), F.col("b").alias("target_text")))
+    longer = F.lit('{"comparison_category": "EXPANSION", "explanation": "stand-in", "confidence": 0.5}')
+    analysed = compare.with_analysis(compare.compare_pairs(rows), lambda requests: requests.select("request_id", longer.alias("reply")))
+    return analysed.select("pair_id", "source_idx", "target_idx", F.round("similarity", 6).alias("similarity"), "result_type", F.col("analysis")["category"].alias("category"))
 
 
 _TEXTS = _SAME.replace(f"{_SET_A} AS a, {_SET_B} AS b", "coalesce(s.content, '') AS a, coalesce(t.content, '') AS b")

@@ -10,10 +10,11 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..functions.vectors import cosine, feature_hash_embedding
 from ..operators import context as C
 from ..operators import grounding as G
 
@@ -37,6 +38,7 @@ class Pipeline:
     formatter: Formatter = C.simple_context
     generator: Generator = C.extractive_answer
     template: str = C.PROMPT
+    embed: Callable[[Column], Column] | None = feature_hash_embedding
     grounding: G.Grounding = field(default_factory=G.Grounding)
 
     @staticmethod
@@ -52,7 +54,9 @@ class Pipeline:
         rows = asked.join(self.formatter(self.retriever(asked)), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         rows = rows.join(history.select("query_id", "history"), "query_id", "left") if history is not None else rows.withColumn("history", F.lit(""))
         rows = rows.withColumn("prompt", C.fill_template(self.template, context=F.col("context"), history=F.col("history"), query=F.col("query")))
-        return G.post_process(self.generator(rows), self.grounding)
+        answered = self.generator(rows)
+        near = cosine(self.embed(F.col("answer")), self.embed(F.col("context"))) if self.embed else None
+        return G.post_process(answered, self.grounding, near)
 
     def converse(self, questions: DataFrame, turns: DataFrame, history_size: int = 3) -> tuple[DataFrame, DataFrame]:
         """Questions (conv_id, query) answered with the history of their conversation, and the turns (conv_id, turn, role, text) with the

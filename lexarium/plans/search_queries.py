@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import feature_hash_embedding
 from ..operators import context, evaluation, search
 from .pipeline import Pipeline
 from .registry import query, table
@@ -200,6 +201,12 @@ def context_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.markdown_context(_top_hits(spark, sf_dir), {"source": "source", "filetype": "filetype"})
 
 
+@query()
+def context_markdown_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown contexts cut at 2,000 characters, before a header or behind a full stop if one is near."""
+    return context.markdown_context(_top_hits(spark, sf_dir), {"source": "source", "filetype": "filetype"}, 2000)
+
+
 @query(
     """SELECT case_id, CASE suite WHEN 'compare' THEN 'Compare: ' || coalesce(query, '') || chr(10) || coalesce(passage, '') ELSE 'Q: ' || coalesce(query, '') || chr(10) || 'C: ' || coalesce(passage, '') END AS prompt FROM eval_cases"""
 )
@@ -310,12 +317,23 @@ def eval_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole pipelines
 
 
+def retrieve(documents: DataFrame, questions: DataFrame, top_k: int = 5) -> DataFrame:
+    """Hits (query_id, rank, id, leg, content) of questions (query_id, query): BM25 and nearest embeddings merged 2 to 1."""
+    asked = questions.select("query_id", F.col("query").alias("text"))
+    by_words = search.bm25_hits(documents.select("doc_id", "text"), asked, 2 * top_k).withColumnRenamed("doc_id", "id")
+    vectors = documents.select(F.col("doc_id").alias("id"), feature_hash_embedding(F.col("text")).alias("vector"))
+    near = search.search_many(vectors, asked.select("query_id", feature_hash_embedding(F.col("text")).alias("vector")), 2 * top_k)
+    hits = search.merge_legs([by_words, near], [2, 1], top_k)
+    return hits.join(documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+
+
 @query()
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to grounded answers: retrieval, context, generation, verification."""
+    """Questions to grounded answers: retrieval by words and vectors over all documents, context, generation, verification by entities and vectors."""
     questions = table(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query_id"), "query")
-    pipeline = Pipeline.standard(lambda q: _top_hits(spark, sf_dir).join(q.select("query_id"), "query_id", "left_semi"))
-    return pipeline.answer(questions).select("query_id", "answer", F.round("entity_coverage", 6).alias("entity_coverage"), F.round("score", 6).alias("score"), "verified", "needs_review")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    answers = Pipeline.standard(lambda asked: retrieve(documents, asked)).answer(questions)
+    return answers.select("query_id", "answer", F.round("entity_coverage", 6).alias("entity_coverage"), F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "verified", "needs_review")
 
 
 @query(
@@ -331,3 +349,23 @@ def corpus_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of each document."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.token_list(F.col("text"))).cast("long").alias("n_tokens"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_distinct"))
+
+
+@query("SELECT source FROM documents WHERE lang = 'de' AND source IS NOT NULL INTERSECT SELECT source FROM documents WHERE lang = 'fr' AND source IS NOT NULL")
+def corpus_sources_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with documents of two languages."""
+    of = lambda lang: table(spark, sf_dir, "documents").filter((F.col("lang") == lang) & F.col("source").isNotNull()).select("source")
+    return of("de").intersect(of("fr"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM search_hits")
+def corpus_never_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no search gave."""
+    return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "search_hits").select("doc_id").distinct()).distinct()
+
+
+@query()
+def corpus_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts and the middle length of each file type, by sketches."""
+    rows = table(spark, sf_dir, "documents").groupBy("filetype")
+    return rows.agg(F.approx_count_distinct("text", 0.02).alias("texts"), F.approx_percentile("n_chars", 0.5, F.lit(10_000)).alias("middle_chars"))

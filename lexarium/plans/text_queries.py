@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +13,7 @@ from ..functions.vectors import feature_hash_vector, fit_dimension
 from ..functions.words import STOPWORDS
 from ..operators import chunking, evaluation, filters, grounding, ocr_text, sectioning
 from ..operators.compare import parse_category
+from ..session import shared_folder
 from ..sources import readers, store
 from .registry import query, table
 
@@ -122,6 +125,62 @@ def sink_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("section_id", F.regexp_replace("content", S + "{2,}", ",").alias("csv")).distinct()
 
 
+def _written(spark: SparkSession, rows: DataFrame, kind: str, **options: str) -> str:
+    """A new folder in the shared folder with the rows as files."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.write.options(**options).format(kind).save(path)
+    return path
+
+
+@query("SELECT 'n_nationkey: ' || n_nationkey || ' n_name: ' || n_name || ' n_regionkey: ' || n_regionkey AS content, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR) AS row_index FROM nation")
+def src_read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written to a CSV file and read as documents, numbered within the file."""
+    path = _written(spark, table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey"), "csv", header="true")
+    return readers.read_csv(spark, path).select("content", F.col("metadata")["row_index"].alias("row_index"))
+
+
+@query("SELECT n_name AS content FROM nation")
+def src_read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written to files of JSON lines and read by the key of their content."""
+    return readers.read_jsonl(spark, _written(spark, table(spark, sf_dir, "nation"), "json"), content_key="n_name").select("content")
+
+
+_REGION = "SELECT n_regionkey, string_agg(n_name, chr(10) ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"
+
+
+def _by_region(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    """One file for each region: value over the sorted names of its nations."""
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return names.select(F.col("n_regionkey").alias("region"), value.alias("value"))
+
+
+@query(f"SELECT names || chr(10) AS content FROM ({_REGION})")
+def src_read_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files in a folder for each region, found by their extension at any depth."""
+    rows = _by_region(spark, sf_dir, F.array_join("names", "\n"))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("region").write.partitionBy("region").text(path)
+    return readers.read_directory(spark, path, extensions=["TXT"], glob="region=*/*.txt").select("content")
+
+
+@query("SELECT n_name AS content FROM nation")
+def src_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON files with a list of nations each, read by a path into them."""
+    rows = _by_region(spark, sf_dir, F.to_json(F.struct(F.struct(F.transform("names", lambda x: F.struct(x.alias("name"))).alias("items")).alias("data"))))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("region").write.partitionBy("region").text(path)
+    return readers.read_json(spark, path, at="data.items", content_key="name").select("content")
+
+
+@query(f"SELECT 'name: ' || replace(names, chr(10), chr(10) || chr(10) || 'name: ') AS content FROM ({_REGION})")
+def src_read_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML files of nations, their names taken out by tag."""
+    rows = _by_region(spark, sf_dir, F.concat(F.lit("<nations>"), F.array_join(F.transform("names", lambda x: F.concat(F.lit("<name>"), x, F.lit("</name>"))), ""), F.lit("</nations>")))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("region").write.partitionBy("region").text(path)
+    return readers.read_xml(spark, path, content_tags=["name"]).select("content")
+
+
 @query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page NULLS LAST, block_key) AS content, count(*) AS n_parts FROM (SELECT DISTINCT * FROM text_blocks WHERE text IS NOT NULL) GROUP BY doc_id")
 def src_combine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text of each parsed document as one text, blocks without a page last."""
