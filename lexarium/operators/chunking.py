@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import check_window, sentences, stride_chunks, token_windows
+from ..functions.text import check_window, sentences, stride_chunks, strip, token_windows, words
+from ..functions.words import STOPWORDS
 
 SEPARATORS = ("\n\n", "\n", ". ", ".", " ", "")
 _SENTENCE = re.compile(r"[^.!?]*[.!?]|[^.!?]+$")
@@ -73,6 +74,14 @@ def split_recursive(text: str, size: int, overlap: int, separators: Sequence[str
     return out + _join(fitting, chosen, size, overlap)
 
 
+def split_text(text: str | None, size: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """The chunks of split_recursive with separators of one's own; a text that fits is one chunk, null and blank ones give none."""
+    check_window(size, overlap)
+    if not text or not text.strip():
+        return []
+    return [text] if len(text) <= size else split_recursive(text, size, overlap, tuple(separators))
+
+
 def recursive_chunks(text: str | None, size: int = 1000, overlap: int = 200) -> list[str]:
     """Recursive chunks; a text that fits is cut into sentences, as are chunks that are still too long."""
     if not text:
@@ -149,6 +158,22 @@ def recursive(documents: DataFrame, size: int = 1000, overlap: int = 200, conten
     return exploded(documents, _udf(lambda t: recursive_chunks(t, size, overlap))(F.col(content)), content)
 
 
+def by_separators(documents: DataFrame, separators: Sequence[str] = ("\n\n", "\n", " ", ""), size: int = 1000, overlap: int = 200, content: str = "content") -> DataFrame:
+    """Chunks of split_text, cut at the coarsest of the given separators that occurs."""
+    check_window(size, overlap)
+    return exploded(documents, _udf(lambda t: split_text(t, size, overlap, separators))(F.col(content)), content)
+
+
+def with_keywords(chunks: DataFrame, n: int = 6, language: str = "en", content: str = "content") -> DataFrame:
+    """chunks with title, the first line that isn't blank, and keywords, the n commonest words of four letters and more that aren't stop words, ties in order of the alphabet."""
+    stop = F.array(*(F.lit(w) for w in STOPWORDS[language]))
+    own = F.filter(words(F.col(content)), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w) & ~w.rlike("[0-9_]"))
+    counted = F.transform(F.array_distinct(F.col("_words")), lambda w: F.struct((-F.size(F.filter(F.col("_words"), lambda x: x == w))).alias("n"), w.alias("word")))
+    first = F.filter(F.transform(F.split(F.coalesce(F.col(content), F.lit("")), "\n"), strip), lambda x: x != "")
+    keywords = F.transform(F.slice(F.array_sort(counted), 1, n), lambda x: x["word"])
+    return chunks.withColumn("_words", own).withColumn("title", F.try_element_at(first, F.lit(1))).withColumn("keywords", keywords).drop("_words")
+
+
 def by_character(documents: DataFrame, size: int = 1000, overlap: int = 200, separator: str = "\n", content: str = "content") -> DataFrame:
     check_window(size, overlap)
     return exploded(documents, _udf(lambda t: character_chunks(t, size, overlap, separator))(F.col(content)), content)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -165,14 +165,78 @@ def merge_settings(*layers: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
-def load_settings(defaults: Mapping[str, Any], *files: str, prefix: str = "LEXARIUM_", environ: Mapping[str, str] | None = None) -> dict[str, Any]:
-    """Defaults, then JSON files in order, then environment variables with the prefix, whose `__` nests."""
+def _read_settings(file: str) -> Mapping[str, Any]:
+    text = Path(file).read_text()
+    if Path(file).suffix.lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise PipelineError("reading YAML needs pyyaml") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def check_settings(settings: Mapping[str, Any], kinds: Mapping[str, Any], path: str = "") -> None:
+    """Raise an error that names every setting that is unknown or of another kind; kinds nests types, or tuples of allowed values."""
+    wrong = []
+
+    def visit(node: Mapping[str, Any], known: Mapping[str, Any], at: str) -> None:
+        for key, value in node.items():
+            name, kind = f"{at}{key}", known.get(key)
+            if kind is None:
+                wrong.append(f"{name} is unknown")
+            elif isinstance(kind, Mapping):
+                visit(value, kind, f"{name}.") if isinstance(value, Mapping) else wrong.append(f"{name} must have settings of its own")
+            elif isinstance(kind, tuple):
+                wrong.extend([] if value in kind else [f"{name} must be one of {', '.join(map(str, kind))}"])
+            elif not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+                wrong.append(f"{name} must be {kind.__name__}")
+
+    visit(settings, kinds, path)
+    if wrong:
+        raise PipelineError("; ".join(wrong))
+
+
+def load_settings(defaults: Mapping[str, Any], *files: str, prefix: str = "LEXARIUM_", environ: Mapping[str, str] | None = None, kinds: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """Defaults, then JSON or YAML files in order, then environment variables with the prefix, whose `__` nests; held against kinds if given.
+
+    Values of the environment take the kind of the default they replace.
+    """
     layers: list[Mapping[str, Any]] = [defaults]
-    layers += [json.loads(Path(f).read_text()) for f in files]
+    layers += [_read_settings(f) for f in files]
     for key, value in sorted((environ if environ is not None else os.environ).items()):
         if key.startswith(prefix):
-            node: Any = value
-            for part in reversed(key[len(prefix) :].lower().split("__")):
+            parts = key[len(prefix) :].lower().split("__")
+            before: Any = defaults
+            for part in parts:
+                before = before.get(part) if isinstance(before, Mapping) else None
+            node: Any = value.lower() in ("1", "true", "yes") if isinstance(before, bool) else type(before)(value) if isinstance(before, (int, float)) else value
+            for part in reversed(parts):
                 node = {part: node}
             layers.append(node)
-    return merge_settings(*layers)
+    merged = merge_settings(*layers)
+    if kinds is not None:
+        check_settings(merged, kinds)
+    return merged
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Make the Python functions and the table function of chunks known to SQL; gives their names."""
+    from pyspark.sql.functions import udtf
+
+    from ..operators import chunking, compare, evaluation
+
+    @udtf(returnType="chunk_index int, chunk_count int, content string")
+    class TextChunks:
+        """The chunks of a text: SELECT * FROM text_chunks('...', 1000, 200)."""
+
+        def eval(self, text: str, size: int, overlap: int):  # noqa: ANN202, A003
+            found = chunking.split_text(text, size, overlap)
+            for k, chunk in enumerate(found):
+                yield k, len(found), chunk
+
+    functions = {"unified_diff": compare.unified_diff, "inline_diff": compare.inline_diff, "wrapped_text": compare.wrapped, "ratio_error": evaluation.ratio_error, "ratio_word_error": evaluation.ratio_word_error}
+    for name, function in functions.items():
+        spark.udf.register(name, function)
+    spark.udtf.register("text_chunks", TextChunks)
+    return [*functions, "text_chunks"]

@@ -109,6 +109,29 @@ def read_xml(spark: SparkSession, path: str, files: Mapping[str, str] | None = N
     return _by_file(_whole(spark, path, files), lambda raw: xml_documents(raw, **options))
 
 
+def xml_find(expression: str, namespaces: Mapping[str, str] | None = None) -> Callable[[Column], Column]:
+    """The texts of the elements that an expression finds in an XML text, as ARRAY<STRING>.
+
+    Steps are `prefix:tag` with the given namespaces, `{uri}tag`, or a bare tag, which stands for that tag in any
+    namespace. Null and broken texts give null.
+    """
+    steps = [p if not p or p in (".", "..", "*") or ":" in p or p.startswith(("{", "@", "[")) else "{*}" + p for p in re.split(r"/(?![^{]*\})", expression)]
+    path = "/".join(steps)
+
+    @F.pandas_udf("array<string>")
+    def find(raw: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str] | None:
+            try:
+                root = ElementTree.fromstring(text) if text else None
+            except ElementTree.ParseError:
+                return None
+            return None if root is None else ["".join(x.itertext()).strip() for x in root.findall(path, dict(namespaces or {}))]
+
+        return raw.map(one)
+
+    return find
+
+
 def xml_namespaces(raw: Column) -> Column:
     """MAP of the prefixes that an XML text declares; the default one is ''."""
     pattern = F.lit(r'xmlns(?::([\w.-]+))?="([^"]+)"')
@@ -128,10 +151,11 @@ def _walk(node: object, path: str) -> object:
     return node
 
 
-def json_documents(raw: str, at: str = "", content_key: str | None = None, whole_if_missing: bool = True) -> Iterator[tuple[str, dict[str, str]]]:
+def json_documents(raw: str, at: str = "", content_key: str | None = None, whole_if_missing: bool = True, where: Mapping[str, object] | None = None) -> Iterator[tuple[str, dict[str, str]]]:
     """Documents of a JSON text: each item of the list at the dotted path `at`, or the one value there.
 
-    A missing content_key gives the whole item, or no document if whole_if_missing is off.
+    A missing content_key gives the whole item, or no document if whole_if_missing is off. where keeps the items that
+    have the given values under its keys.
     """
     try:
         node = _walk(json.loads(raw), at)
@@ -139,6 +163,8 @@ def json_documents(raw: str, at: str = "", content_key: str | None = None, whole
         yield "", {"filetype": "json", "error": str(e)}
         return
     for k, item in enumerate(node if isinstance(node, list) else [node]):
+        if where and not (isinstance(item, dict) and all(item.get(key) == wanted for key, wanted in where.items())):
+            continue
         value = item.get(content_key) if content_key and isinstance(item, dict) else item
         if value is None and content_key:
             if not whole_if_missing:
@@ -227,6 +253,30 @@ def read_html(spark: SparkSession, path: str, mode: str = "text", files: Mapping
     return _by_file(_whole(spark, path, files), lambda raw: html_documents(raw, mode))
 
 
+def web_documents(pages: DataFrame, mode: str = "text", lenient: bool = True) -> DataFrame:
+    """Pages (url, html, and optionally status, content_type) of a crawl as documents.
+
+    metadata has source, domain, and status and content_type where they are there. Pages without HTML or with a status
+    of 400 and more give an empty document with metadata.error, or none without lenient.
+    """
+    known = [c for c in ("status", "content_type") if c in pages.columns]
+    rows = pages.select("url", "html", *(F.col(c).cast("string").alias(c) for c in known), url_domain(F.col("url")).alias("domain"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[str, dict]] = []
+            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                about = {"source": row["url"], "filetype": "html"} | {c: row[c] for c in ("domain", *known) if row[c] is not None}
+                bad = "no content" if row["html"] is None else f"status {row['status']}" if (row.get("status") or "").isdigit() and int(row["status"]) >= 400 else None
+                if bad is None:
+                    out += [(content, more | about) for content, more in html_documents(row["html"], mode)]
+                elif lenient:
+                    out.append(("", about | {"error": bad}))
+            yield pd.DataFrame(out, columns=["content", "metadata"])
+
+    return rows.mapInPandas(run, DOCUMENT)
+
+
 def url_domain(url: Column) -> Column:
     """The host and port of a URL; null if there is none."""
     found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1)
@@ -247,11 +297,13 @@ def read_pdf(spark: SparkSession, path: str, first: int | None = None, last: int
             rows = []
             for raw, source in zip(batch["content"], batch["path"]):
                 try:
-                    texts = [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
+                    reader = PdfReader(io.BytesIO(raw))
+                    texts = [p.extract_text() or "" for p in reader.pages]
+                    info = {f"pdf_{k.lstrip('/').lower()}": str(v) for k, v in (reader.metadata or {}).items()}
                 except Exception as e:  # noqa: BLE001 - a broken file must not end the job
                     rows.append(("", {"source": source, "filetype": "pdf", "error": str(e)}))
                     continue
-                rows += [(t.strip() or f"[No extractable text on page {n}]", {"source": source, "filetype": "pdf", "page_number": str(n), "total_pages": str(len(texts))}) for n, t in enumerate(texts, 1) if (first or 1) <= n <= (last or len(texts))]
+                rows += [(t.strip() or f"[No extractable text on page {n}]", {"source": source, "filetype": "pdf", "page_number": str(n), "total_pages": str(len(texts))} | info) for n, t in enumerate(texts, 1) if (first or 1) <= n <= (last or len(texts))]
             yield pd.DataFrame(rows, columns=["content", "metadata"])
 
     pages = spark.read.format("binaryFile").options(**(files or {})).load(path).select("content", "path").mapInPandas(run, DOCUMENT)

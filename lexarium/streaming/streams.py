@@ -44,6 +44,12 @@ def tumbling_counts(stream: DataFrame, time: str, width: str, lateness: str, *ke
     return rows.select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
+def sliding_counts(stream: DataFrame, time: str, width: str, slide: str, lateness: str, *keys: str) -> DataFrame:
+    """Rows counted by windows of a width that begin every `slide`, and keys; a row counts in each window it falls into."""
+    rows = stream.withWatermark(time, lateness).groupBy(F.window(time, width, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").alias("window_start"), *keys, "n")
+
+
 def sessions(stream: DataFrame, key: str, time: str, gap: str, lateness: str) -> DataFrame:
     """Rows counted by key and session."""
     rows = stream.withWatermark(time, lateness).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))

@@ -200,3 +200,69 @@ def test_path_patterns():
         return bool(re.search(readers._like(pattern), path))
 
     assert matches("*.md", "/a/b/x.md") and not matches("b/*.md", "/a/b/c/x.md") and matches("b/**/*.md", "/a/b/c/d/x.md") and matches("b/**/*.md", "/a/b/x.md") and not matches("a.b", "/x/aab")
+
+
+def test_separators_and_keywords(spark):
+    from lexarium.operators import chunking
+
+    rows = spark.createDataFrame([(1, "aa|bb|cc|dd"), (2, None), (3, " "), (4, "short")], "id long, content string")
+    got = {}
+    for r in chunking.by_separators(rows, ["|", ""], 5, 0).collect():
+        got.setdefault(r.id, []).append((r.chunk_index, r.chunk_count, r.content))
+    assert got == {1: [(0, 2, "aa|bb"), (1, 2, "cc|dd")], 4: [(0, 1, "short")]}
+    chunk = spark.createDataFrame([(1, "\n The Title \nvalve pump valve sensor pump valve with that gauge"), (2, None)], "id long, content string")
+    keyed = {r.id: r for r in chunking.with_keywords(chunk, 3).collect()}
+    assert keyed[1].title == "The Title" and keyed[1].keywords == ["valve", "pump", "gauge"] and keyed[2].title is None and keyed[2].keywords == []
+
+
+def test_web_documents(spark):
+    rows = [("https://a.example/x", "<title>T</title><p>Hello</p>", 200), ("https://a.example/y", None, 200), ("https://b.example:8080/z", "<p>Gone</p>", 404), (None, "<p>x</p>", None)]
+    pages = spark.createDataFrame(rows, "url string, html string, status int")
+    got = {r.metadata.get("source"): r for r in readers.web_documents(pages).collect()}
+    assert got["https://a.example/x"].content == "Hello" and got["https://a.example/x"].metadata["domain"] == "a.example" and got["https://a.example/x"].metadata["status"] == "200"
+    assert got["https://a.example/y"].metadata["error"] == "no content" and got["https://b.example:8080/z"].metadata["error"] == "status 404" and got[None].content == "x"
+    assert readers.web_documents(pages, lenient=False).count() == 2 and readers.web_documents(pages.limit(0)).count() == 0
+
+
+def test_xml_find(spark):
+    raw = '<d:doc xmlns:d="urn:d"><d:part><d:name>A</d:name></d:part><part xmlns="urn:e"><name>B</name></part></d:doc>'
+    rows = spark.createDataFrame([(1, raw), (2, "<broken"), (3, None)], "id long, raw string")
+
+    def found(expression, namespaces=None):
+        return {r.id: r.x for r in rows.select("id", readers.xml_find(expression, namespaces)(F.col("raw")).alias("x")).collect()}
+
+    assert found("part/name") == {1: ["A", "B"], 2: None, 3: None}
+    assert found("x:part/x:name", {"x": "urn:d"})[1] == ["A"] and found("{urn:e}part/{urn:e}name")[1] == ["B"] and found(".//name")[1] == ["A", "B"]
+
+
+def test_json_where(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"kind": "x", "t": "1"}, {"kind": "y", "t": "2"}, 3]')
+    assert [r.content for r in readers.read_json(spark, f"{tmp_path}/a.json", content_key="t", where={"kind": "x"}).collect()] == ["1"]
+
+
+def test_settings(tmp_path):
+    from lexarium.plans import pipeline as P
+
+    (tmp_path / "a.yaml").write_text("search:\n  k: 7\n")
+    defaults, kinds = {"search": {"k": 5, "exact": False}, "style": "text"}, {"search": {"k": int, "exact": bool}, "style": ("text", "html")}
+    got = P.load_settings(defaults, f"{tmp_path}/a.yaml", environ={"LEXARIUM_SEARCH__EXACT": "true", "LEXARIUM_STYLE": "html"}, kinds=kinds)
+    assert got == {"search": {"k": 7, "exact": True}, "style": "html"}
+    with pytest.raises(P.PipelineError, match="search.k must be int; search.z is unknown; style must be one of text, html"):
+        P.check_settings({"search": {"k": "many", "z": 1}, "style": "pdf"}, kinds)
+
+
+def test_sql_functions(spark):
+    from lexarium.plans.pipeline import register_functions
+
+    assert "text_chunks" in register_functions(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM text_chunks('aa bb cc', 5, 0)").collect()] == [(0, 2, "aa bb"), (1, 2, "cc")]
+    assert spark.sql("SELECT ratio_error('abc', 'abc') AS e").first().e == 0.0
+
+
+def test_sliding_windows(spark, tmp_path):
+    from lexarium.streaming import streams
+
+    spark.sql("SELECT timestamp'2024-01-01 00:00:30' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:01:10', 'a' UNION ALL SELECT timestamp'2024-01-03 00:00:00', 'end'").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streams.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    done = streams.run_to_end(streams.sliding_counts(stream, "ts", "2 minutes", "1 minute", "1 minute", "k"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(r.n for r in done.filter("k = 'a'").collect()) == [1, 1, 2]
