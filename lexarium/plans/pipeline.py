@@ -55,8 +55,10 @@ class Pipeline:
         rows = rows.join(history.select("query_id", "history"), "query_id", "left") if history is not None else rows.withColumn("history", F.lit(""))
         rows = rows.withColumn("prompt", C.fill_template(self.template, context=F.col("context"), history=F.col("history"), query=F.col("query")))
         answered = self.generator(rows)
-        near = cosine(self.embed(F.col("answer")), self.embed(F.col("context"))) if self.embed else None
-        return G.post_process(answered, self.grounding, near)
+        if not self.embed:
+            return G.post_process(answered, self.grounding)
+        answered = answered.withColumns({"_answer": self.embed(F.col("answer")), "_context": self.embed(F.col("context"))})
+        return G.post_process(answered, self.grounding, cosine(F.col("_answer"), F.col("_context"))).drop("_answer", "_context")
 
     def converse(self, questions: DataFrame, turns: DataFrame, history_size: int = 3) -> tuple[DataFrame, DataFrame]:
         """Questions (conv_id, query) answered with the history of their conversation, and the turns (conv_id, turn, role, text) with the
