@@ -58,6 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan, spread over the cores where its files have fewer parts than there are cores; larger tables stay as they are.
+
+    Only for a plain scan, whose number of parts is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 0 < scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def records(df: DataFrame, rec_table: str, rec_id: str, text: str) -> DataFrame:
     """(rec_table, rec_id, text) of a table; whatever other columns it has, clashing names included, stay out."""
     return df.select(F.lit(rec_table).alias("rec_table"), df[rec_id].cast("bigint").alias("rec_id"), df[text].cast("string").alias("text"))

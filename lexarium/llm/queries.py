@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, language, leakage, neardup, packing, scans, site_lines, splitting, stuffing
-from .base import records
+from .base import records, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are worked off in Python."""
+    return spread(_t(spark, sf_dir, name).select(*columns))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(_t(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
@@ -26,17 +31,17 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = _texts(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language.assign_languages(documents, language.fit(documents), cases_only=True).select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "lang").distinct()
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = _texts(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language.assign_languages(documents, language.fit(documents)).select("doc_id", "seg_no", "lang", "label", "mislabelled", F.round("confidence", 6).alias("confidence"))
 
 
 def _documents_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "text_blocks"), "text_blocks", "block_key", "text"))
+    return records(_texts(spark, sf_dir, "documents", "doc_id", "text"), "documents", "doc_id", "text").unionByName(records(_texts(spark, sf_dir, "text_blocks", "block_key", "text"), "text_blocks", "block_key", "text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = records(_t(spark, sf_dir, "documents"), "documents", "doc_id", "text").unionByName(records(_t(spark, sf_dir, "sections"), "sections", "section_id", "content"))
+    items = records(_texts(spark, sf_dir, "documents", "doc_id", "text"), "documents", "doc_id", "text").unionByName(records(_texts(spark, sf_dir, "sections", "section_id", "content"), "sections", "section_id", "content"))
     return neardup.near_duplicates(items, threshold=0.7, size=3, min_words=20)
 
 
@@ -78,7 +83,7 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents and text_blocks; a file's title and site are those of any of its revisions that has them."""
-    docs = _t(spark, sf_dir, "documents").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text", "title", "source", F.lit(None).cast("string").alias("code"), F.lit(False).alias("block"))
+    docs = _texts(spark, sf_dir, "documents", "doc_id", "text", "title", "source").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text", "title", "source", F.lit(None).cast("string").alias("code"), F.lit(False).alias("block"))
     parsed = _t(spark, sf_dir, "parsed_docs").select("doc_id", "title", "source", F.col("doc_number").alias("code")).dropDuplicates(["doc_id"])
     known = parsed.filter(F.col("code").isNotNull()).groupBy("code").agg(F.min("title").alias("any_title"), F.min("source").alias("any_source"))
     about = parsed.join(known, "code", "left").select("doc_id", F.coalesce("title", "any_title").alias("title"), F.coalesce("source", "any_source").alias("source"), "code")
@@ -108,19 +113,19 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_cases")).select("case_id", "doc_id").distinct()
+    return leakage.find_leaks(_texts(spark, sf_dir, "documents", "doc_id", "text"), _t(spark, sf_dir, "eval_cases")).select("case_id", "doc_id").distinct()
 
 
 def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_cases"))
+    return leakage.find_leaks(_texts(spark, sf_dir, "documents", "doc_id", "text"), _t(spark, sf_dir, "eval_cases"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.stuffed_pages(_t(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return stuffing.stuffed_pages(_texts(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.score_pages(_t(spark, sf_dir, "documents"))
+    return stuffing.score_pages(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
