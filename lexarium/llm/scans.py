@@ -35,6 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LOWER = re.compile("[a-zß-öø-ɏͰ-῿]+")
 _INNER_HYPHEN = re.compile(r"-(?<=[^\W\d_]-)(?=[^\W\d_])")
 _MIXED = re.compile(r"(?<![^\s\"“„«»”’'(\[,;:.-])(?=[^\s]*[0-9|])([^\W_]*[^\W\d_](?:[^\W_]|\|)*)(?=[\s\"”“«»’'),.;:!?\]-]|$)")
+_BESIDE_DIGIT = re.compile(r"[^\W\d_][0-9|]|[0-9|][^\W\d_]")
 _HYPHENS = "-‐­¬"
 _CUT = {
     False: re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)[ \t]*[\n\x0c][ \t]*(?=[^\W\d_])"),
@@ -185,7 +186,12 @@ def page_parts(text: str, title: str | None, source: str | None, block: bool, co
 
 def number_lines(text: str) -> list[tuple[int, int]]:
     """Spans of the lines that are page numbers and nothing else, whatever the width of the other lines."""
-    return [m.span() for m in re.finditer(r"(?:^|(?<=[\n\x0c]))[^\n\x0c]{1,40}(?=[\n\x0c]|$)", text) if _OWN_NUMBER.match(m.group().strip())]
+    found, at = [], 0
+    for line in text.replace("\x0c", "\n").split("\n"):
+        if len(line) <= 40 and _OWN_NUMBER.match(line):
+            found.append((at, at + len(line)))
+        at += len(line) + 1
+    return found
 
 
 def _word_before(text: str, end: int) -> str:
@@ -231,7 +237,9 @@ def joined(text: str, block: bool, uncut: frozenset[str] | set[str] = frozenset(
 
 def mixed_words(text: str) -> set[str]:
     """Words that hold digits or bars, as misread letters would, in lower case; not codes, numbers with units or encoded data."""
-    found = set()
+    found: set[str] = set()
+    if not _BESIDE_DIGIT.search(text):
+        return found
     for m in _MIXED.finditer(text):
         w = m.group(1)
         odd = sum(c.isdigit() or c == "|" for c in w)
@@ -359,13 +367,10 @@ def probes(items: DataFrame, noisy: bytes) -> DataFrame:
                 inside = paged and re.fullmatch(r"[^\W\d_]+(?:[0159|][^\W\d_]+){1,3}", w)
                 for fix, weight in _letters_of(w):
                     rows.append((*key, "characters", w, fix, weight, None, bool(inside)))
-            before = ""
-            seen = set()
-            for w in _LOWER.findall(text.lower()):
-                if len(w) >= LEAST_LETTERS and noisy_words[w] and w not in seen:
-                    seen.add(w)
-                    rows.append((*key, "characters", w, None, None, before, None))
-                before = w
+            ws = _LOWER.findall(text.lower())
+            for w in {w for w in set(ws) if len(w) >= LEAST_LETTERS and noisy_words[w]}:
+                at = ws.index(w)
+                rows.append((*key, "characters", w, None, None, ws[at - 1] if at else "", None))
         names = ("rec_table", "rec_id", "kind", "probe", "fix", "weight", "beside", "inside")
         return dict(zip(names, zip(*rows) if rows else [()] * len(names)))
 
