@@ -202,7 +202,7 @@ def check_settings(settings: Mapping[str, Any], kinds: Mapping[str, Any], path:
 def load_settings(defaults: Mapping[str, Any], *files: str, prefix: str = "LEXARIUM_", environ: Mapping[str, str] | None = None, kinds: Mapping[str, Any] | None = None) -> dict[str, Any]:
     """Defaults, then JSON or YAML files in order, then environment variables with the prefix, whose `__` nests; held against kinds if given.
 
-    Values of the environment take the kind of the default they replace.
+    Values of the environment are strings; with kinds they take the kind of the default they replace.
     """
     layers: list[Mapping[str, Any]] = [defaults]
     layers += [_read_settings(f) for f in files]
@@ -212,7 +212,7 @@ def load_settings(defaults: Mapping[str, Any], *files: str, prefix: str = "LEXAR
             before: Any = defaults
             for part in parts:
                 before = before.get(part) if isinstance(before, Mapping) else None
-            node: Any = value.lower() in ("1", "true", "yes") if isinstance(before, bool) else type(before)(value) if isinstance(before, (int, float)) else value
+            node: Any = value if kinds is None else value.lower() in ("1", "true", "yes") if isinstance(before, bool) else type(before)(value) if isinstance(before, (int, float)) else value
             for part in reversed(parts):
                 node = {part: node}
             layers.append(node)
