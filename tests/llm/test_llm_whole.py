@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -154,3 +155,43 @@ def test_p6_heads_by_repetition_and_misread():
     assert heads(PAGE.format(head="Late sensor reports") + "S. 4\nLate scnsor reports\n" + more, "Pump records: late Felurix", None) == ["Late sensor reports", "Late scnsor reports"]
     assert heads(PAGE.format(head="Late sensor reports") + "Other reports\n" + more, "Pump records: late Felurix", None) == []
     assert heads("S. 4\nPump records: late Felurix\n" + PAGE.format(head="and so on"), "Pump records: late Felurix", None) == ["Pump records: late Felurix"]
+
+
+def test_p9_repeats_within_words_count_in_pages_of_any_length(spark):
+    """Keywords joined with ever new words, just below and beyond 100,000 characters and well beyond."""
+    rng = random.Random(5)
+    pages = [" ".join(rng.choice(["billig", "pumpen", "ventil", "sensor"]) + "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)) for n in (6_500, 7_000, 20_000)]
+    assert len(pages[0]) < 100_000 < len(pages[1])
+    got = {r.doc_id: r for r in stuffing.score_pages(spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")).collect()}
+    assert [(got[k].stuffed, got[k].stuffing_words) for k in range(3)] == [(True, 6_500), (True, 7_000), (True, 20_000)]
+    assert all(0.8 < got[k].repeated_share < 0.9 for k in range(3))
+
+
+@pytest.mark.parametrize("n", [2_000, 11_000, 11_500, 60_000])
+def test_p9_distinct_words_given_once_are_no_repeats_at_any_length(n):
+    """Parts of words recur by chance the more the longer a page is; that may not make it stuffed."""
+    rng = random.Random(9)
+    names = list(dict.fromkeys("".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)))
+    assert not stuffing.is_stuffed(" ".join(names)) and stuffing.is_stuffed(" ".join(names * 2))
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 40])
+def test_p9_one_rule_on_both_sides_of_twenty_words(n):
+    """A list given twice, and a short keyword between ever new words."""
+    rng = random.Random(n)
+    names = ["".join(rng.sample("bcdfghklmnprstvz", 7)) for _ in range(n)]
+    assert stuffing.is_stuffed(", ".join(names * 2)) and not stuffing.is_stuffed(", ".join(names))
+    assert stuffing.is_stuffed("nut " + " ".join(f"{w} nut" for w in names))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a é漢😀", "".join(map(chr, range(0x4E00, 0x9000))) + "😀"])
+def test_p9_cover_of_whole_texts_against_counted_substrings(alphabet):
+    """Also with so many characters that six of them don't fit a number."""
+    rng = random.Random(7)
+    text = "".join(rng.choice(alphabet) for _ in range(3_000))
+    text += text[500:900] + "".join(rng.choice(alphabet) for _ in range(500))
+    times = Counter(text[k : k + 6] for k in range(len(text) - 5))
+    want = [any(times[text[j : j + 6]] > 1 for j in range(max(0, k - 5), min(k, len(text) - 6) + 1)) for k in range(len(text))]
+    assert stuffing.repeated_cover(text, 6) == want and any(want)
+    near = [any(t in text[max(0, k - 50) : k + 5] or t in text[k + 1 : k + 56] for t in [text[k : k + 6]]) for k in range(len(text) - 5)]
+    assert stuffing.repeated_cover(text, 6, 50) == [any(near[max(0, k - 5) : k + 1]) for k in range(len(text))]
